@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat
+from . import chat, mixing, tokens
 
 QUERIES = {
     "op3_chat_formatting": chat.op3_chat_formatting,
+    "op6_token_counts": tokens.op6_token_counts,
+    "op8_source_mix": mixing.op8_source_mix,
 }
 ORACLE_SQL = {
     "op3_chat_formatting": chat.OP3_SQL,
+    "op8_source_mix": mixing.OP8_SQL,
 }
