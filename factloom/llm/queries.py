@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, linededup, mixing, tokens
+from . import chat, decontam, exactdedup, linededup, mixing, tokens
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op5_decontamination": decontam.op5_decontamination,
     "op6_token_counts": tokens.op6_token_counts,
+    "op7_exact_dedup": exactdedup.op7_exact_dedup,
     "op8_source_mix": mixing.op8_source_mix,
 }
 ORACLE_SQL = {
     "op1_line_dedup": linededup.OP1_SQL,
     "op3_chat_formatting": chat.OP3_SQL,
     "op5_decontamination": decontam.OP5_SQL,
+    "op7_exact_dedup": exactdedup.OP7_SQL,
     "op8_source_mix": mixing.OP8_SQL,
 }
