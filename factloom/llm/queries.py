@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, exactdedup, linededup, mixing, tokens
+from . import chat, decontam, exactdedup, linededup, mixing, neardedup, tokens
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_token_counts": tokens.op6_token_counts,
     "op7_exact_dedup": exactdedup.op7_exact_dedup,
     "op8_source_mix": mixing.op8_source_mix,
+    "op9_near_dedup": neardedup.op9_near_dedup,
 }
 ORACLE_SQL = {
     "op1_line_dedup": linededup.OP1_SQL,
@@ -18,4 +19,5 @@ ORACLE_SQL = {
     "op5_decontamination": decontam.OP5_SQL,
     "op7_exact_dedup": exactdedup.OP7_SQL,
     "op8_source_mix": mixing.OP8_SQL,
+    "op9_near_dedup": neardedup.OP9_SQL,
 }
