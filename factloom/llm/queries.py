@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, exactdedup, linededup, mixing, neardedup, tokens
+from . import chat, decontam, exactdedup, linededup, mixing, neardedup, tokens, toxicity
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_exact_dedup": exactdedup.op7_exact_dedup,
     "op8_source_mix": mixing.op8_source_mix,
     "op9_near_dedup": neardedup.op9_near_dedup,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLE_SQL = {
     "op1_line_dedup": linededup.OP1_SQL,
