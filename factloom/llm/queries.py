@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, exactdedup, linededup, mixing, neardedup, tokens, toxicity
+from . import chat, decontam, exactdedup, langid, linededup, mixing, neardedup, tokens, toxicity
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
     "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_language_id": langid.op4_language_id,
     "op5_decontamination": decontam.op5_decontamination,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_exact_dedup": exactdedup.op7_exact_dedup,
