@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, exactdedup, langid, linededup, mixing, neardedup, tokens, toxicity
+from . import chat, decontam, exactdedup, langid, linededup, mixing, neardedup, secrets, tokens, toxicity
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
+    "op2_secret_scan": secrets.op2_secret_scan,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_language_id": langid.op4_language_id,
     "op5_decontamination": decontam.op5_decontamination,
