@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 #: Bytes of white space in the contracts: blank and the five control characters 09 to 0D.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 #: Data go to every executor only below this many bytes, and only after their size is known.
@@ -14,6 +16,7 @@ BROADCAST_BYTES = 64 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +35,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def stored(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    ship(df.sparkSession)
     path = scratch_path(df.sparkSession, label)
     writer = df.write
     if partition_by:
