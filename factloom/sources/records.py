@@ -6,6 +6,7 @@ record never stops a batch.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +44,6 @@ def read_resumes(spark: SparkSession, path: str, ingested_at: str, key: Column |
 
 def read_pdf_resumes(spark: SparkSession, path: str, ingested_at: str, to_text, key: Column | None = None) -> DataFrame:
     """PDF files through to_text, a function from bytes to text that the caller brings; files it fails on have null text."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def convert(contents: pd.Series) -> pd.Series:
         def one(raw):
