@@ -7,10 +7,9 @@ returns a row for each document kept so far with the number of its words that th
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from factloom.llm import decontam, exactdedup, mixing, neardedup, toxicity
-from factloom.llm.common import read_table, stored
+from factloom.llm.common import by_ids, read_table, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the documents in gone. The list is written first; Spark sends it to all executors only below its own size limit."""
-    ids = stored(gone.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    ids = stored(gone.select("doc_id").distinct(), "gone")
+    return by_ids(docs, ids, "left_anti")
 
 
 STAGES = [

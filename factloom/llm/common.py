@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..shipping import ship
 
@@ -44,6 +45,15 @@ def stored(df: DataFrame, label: str, partition_by: str | None = None) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs left_semi or left_anti the doc_ids in the one column of ids; null equals null. The column's name cannot clash."""
+    name, taken = "_id", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    ids = ids.toDF(name)
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(name)), how)
+
+
 def text_list(array) -> list[str]:
     """The texts of an Arrow column; null counts as empty."""
     return ["" if x is None else x for x in array.to_pylist()]

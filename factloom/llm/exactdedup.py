@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, BROADCAST_BYTES, read_table, stored, text_list
+from .common import ASCII_SPACE, BROADCAST_BYTES, by_ids, read_table, stored, text_list
 
 #: Fingerprints of one owner, about, so that its task is bounded; and rows of a chunk.
 OWNER_ROWS, CHUNK_ROWS = 1 << 21, 1 << 13
@@ -192,13 +192,12 @@ def exact_groups(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Dat
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, all columns. Rows that repeat a kept document's doc_id and text whole are dropped too."""
-    groups = exact_groups(docs)
-    gone = groups.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("keep_id").alias("_keep"))
+    gone = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("keep_id").alias("_keep"))
     # A dropped row with its keeper's own doc_id is a repeated row: all but one of its copies go, by their content.
-    repeated = gone.where(F.col("_gone").eqNullSafe(F.col("_keep"))).select(F.col("_gone")).distinct()
-    out = docs.join(gone.where(~F.col("_gone").eqNullSafe(F.col("_keep"))).select("_gone"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    once = out.join(repeated, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_semi").dropDuplicates(["doc_id"])
-    return out.join(repeated, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").unionByName(once)
+    own = F.col("_gone").eqNullSafe(F.col("_keep"))
+    repeated = gone.where(own).select("_gone").distinct()
+    out = by_ids(docs, gone.where(~own).select("_gone"), "left_anti")
+    return by_ids(out, repeated, "left_anti").unionByName(by_ids(out, repeated, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
