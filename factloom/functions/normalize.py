@@ -167,8 +167,8 @@ def target_of(path: Column) -> Column:
         F.when(last.isin("phone", "phones"), F.lit("phone"))
         .when(last == "country", F.lit("country"))
         .when(last.isin("start", "end", "from", "to", "date"), F.lit("date"))
-        .when(last.isin("skill", "skills"), F.lit("skill"))
-        .when((last == "name") & F.array_contains(segments, "skills"), F.lit("skill"))
+        .when(last == "skills", F.lit("skill"))
+        .when(last.isin("skill", "name") & F.array_contains(segments, "skills"), F.lit("skill"))
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import NO_TEXTS, WS, distinct_ignoring_case, matches, non_empty, trimmed, utf16_length
+from ..functions.text import NO_TEXTS, WS, collapsed, distinct_ignoring_case, matches, non_empty, trimmed, utf16_length
 
 FACT_COLUMNS = (
     "candidate_key", "fact_id", "field_path", "source_kind", "source_id", "extraction_method", "original_value", "value", "value_kind", "confidence",
@@ -94,7 +94,7 @@ def institutions_of(lines: Column) -> Column:
 
 def skills_of(lines: Column) -> Column:
     tokens = F.split(F.array_join(section(lines, SKILLS), "\n"), "[,;|•\n]", -1)
-    clean = F.transform(tokens, lambda x: trimmed(F.regexp_replace(F.regexp_replace(trimmed(x), r"\A[•*-]+", ""), f"{WS}+", " ")))
+    clean = F.transform(tokens, lambda x: collapsed(F.regexp_replace(x, r"\A[•*-]+", "")))
     return distinct_ignoring_case(F.filter(clean, lambda x: utf16_length(x).between(2, 48) & x.rlike("[A-Za-z]")))
 
 

@@ -96,13 +96,13 @@ def name_line(spark, sf_dir):
 
 def _resume_lines() -> Column:
     p = F.col("p_name")
-    text = F.concat(p, F.lit("\n\n Experience \n"), p, F.lit(" (Mar 2021 - now)\n\nBuilt "), F.col("p_type"), F.lit("\nEducation\nUniversity of "), p, F.lit("\nSkills\n- "), p, F.lit("; "), F.col("p_brand"), F.lit(" ,"), F.lower("p_brand"), F.lit("| "), F.col("p_type"), F.lit("\nReferences\n7"))
+    text = F.concat(p, F.lit("\n\n Experience \n"), p, F.lit(" (Mar 2021 - now)\n\nBuilt "), F.col("p_type"), F.lit("\nEducation\nUniversity of "), p, F.lit("\nSkills\n-- "), p, F.lit("; "), F.col("p_brand"), F.lit(" , -x,"), F.lower("p_brand"), F.lit("| "), F.col("p_type"), F.lit("\nReferences\n7"))
     return extract.lines_of(text)
 
 
 _RESUME_SQL = rf"""
 WITH t AS (SELECT p_partkey, p_name || chr(10) || chr(10) || ' Experience ' || chr(10) || p_name || ' (Mar 2021 - now)' || chr(10) || chr(10) || 'Built ' || p_type || chr(10) || 'Education' || chr(10) || 'University of ' || p_name || chr(10)
-  || 'Skills' || chr(10) || '- ' || p_name || '; ' || p_brand || ' ,' || lower(p_brand) || '| ' || p_type || chr(10) || 'References' || chr(10) || '7' AS text FROM part),
+  || 'Skills' || chr(10) || '-- ' || p_name || '; ' || p_brand || ' , -x,' || lower(p_brand) || '| ' || p_type || chr(10) || 'References' || chr(10) || '7' AS text FROM part),
 l AS (SELECT p_partkey, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_sql_trim("x")}), lambda x: x <> '') AS ls FROM t),
 s AS (SELECT p_partkey, ls, list_position(list_transform(ls, lambda x: lower(x)), 'experience') AS a, list_position(list_transform(ls, lambda x: lower(x)), 'education') AS b, list_position(list_transform(ls, lambda x: lower(x)), 'skills') AS c FROM l)"""
 
@@ -123,7 +123,7 @@ def section_education(spark, sf_dir):
 @query(
     _RESUME_SQL
     + rf""", k AS (SELECT p_partkey, list_filter(list_transform(regexp_split_to_array(array_to_string(ls[c + 1 :], chr(10)), '[,;|•\n]'),
-  lambda x: {_sql_trim("regexp_replace(regexp_replace(" + _sql_trim("x") + ", '^[•*-]+', ''), '" + _SQL_WS + "+', ' ', 'g')")}), lambda x: length(x) BETWEEN 2 AND 48 AND regexp_matches(x, '[A-Za-z]')) AS v FROM s)
+  lambda x: {_sql_trim("regexp_replace(regexp_replace(x, '^[•*-]+', ''), '" + _SQL_WS + "+', ' ', 'g')")}), lambda x: length(x) BETWEEN 2 AND 48 AND regexp_matches(x, '[A-Za-z]')) AS v FROM s)
 SELECT p_partkey, array_to_string({_first_spellings("v")}, '|') AS skills FROM k"""
 )
 def section_skills(spark, sf_dir):

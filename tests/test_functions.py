@@ -55,5 +55,5 @@ def test_country_and_skill(spark):
 
 
 def test_targets(spark):
-    rows = ["phones[0]", "a.country", "experience[1].start", "skills[0].name", "name", "skills[]", "headline", None]
-    assert values(spark, rows, N.target_of(F.col("x"))) == ["phone", "country", "date", "skill", None, "skill", None, None]
+    rows = ["phones[0]", "a.country", "experience[1].start", "skills[0].name", "name", "skills[]", "headline", None, "skill", "skills[1].skill"]
+    assert values(spark, rows, N.target_of(F.col("x"))) == ["phone", "country", "date", "skill", None, "skill", None, None, None, "skill"]
