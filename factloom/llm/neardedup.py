@@ -11,8 +11,9 @@ is one shingle). Documents are linked if 100 * intersection >= 80 * union, and a
 4. Candidates are ranked by the collision-corrected estimate; each class's best are verified on the full sets, and
    components are built from the links.
 5. Buckets that hold several components still may hide a link. Their members are compared in blocks, each against
-   those outside the hub's component, by the estimate alone; what passes and still joins two components is verified too, and
-   components are built again. So no pair of a bucket is left out unless it is connected already.
+   those outside the hub's component, and each pair in the first band it shares: by sizes and estimate at first, then, for
+   members that have such a pair, on the full sets inside the same blocks. Tasks return links, not pairs, and components
+   are built again. So no pair of a bucket is left out unless it is connected already.
 
 A pair of similarity 0.8 meets in no band with probability (1 - 0.8 ** ROWS) ** BANDS, under 1e-9, and falls under the estimate's
 margin of 4.5 standard deviations with probability under 1e-5.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, read_table, stored, text_list
+from .common import BROADCAST_BYTES, by_ids, read_table, stored, text_list
 from .components import connected_components
 
 BANDS, ROWS = 40, 4
@@ -41,8 +42,8 @@ THRESHOLD = 80
 MARGIN = 4.5
 #: Verified first for each class: its best candidates by estimate.
 BEST = 2
-#: Members of a bucket that are compared in one task.
-BLOCK = 1024
+#: Members of a bucket that are compared in one task, by registers and by full sets.
+BLOCK, SET_BLOCK = 1024, 256
 _random = np.random.Generator(np.random.PCG64(20240229))
 _PLACE = _random.integers(1, 1 << 63, 1 << 12, dtype=np.uint64) | np.uint64(1)
 _FACTOR = _random.integers(1, 1 << 63, BUCKETS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -110,7 +111,7 @@ def estimate(equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     Two independent minima of sets of n and m share a register with probability about
     2 ** -(MANTISSA + 1) / ln 2 * n m / (n + m) ** 2.
     """
-    n, m = n.astype(np.float64), m.astype(np.float64)
+    n, m, equal = n.astype(np.float64), m.astype(np.float64), np.asarray(equal, np.float64)
     chance = 2.0 ** -(MANTISSA + 1) / np.log(2) * n * m / np.maximum(n + m, 1) ** 2
     return (equal / BUCKETS - chance) / (1 - chance)
 
@@ -148,7 +149,8 @@ def _bands(batches):
         for i in range(ROWS):
             h = _mix(h + (regs[:, :, i] + np.uint64(1)) * _BAND[None, :, i])
         h = _mix(h ^ _BAND[None, :, ROWS])
-        yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column("id").to_numpy(), BANDS))], ["bucket", "id"])
+        band = np.tile(np.arange(BANDS, dtype=np.int32), len(h))
+        yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(band), pa.array(np.repeat(batch.column("id").to_numpy(), BANDS))], ["bucket", "band", "id"])
 
 
 def _estimates(low: float):
@@ -206,27 +208,85 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, thr
     return met.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(threshold), "a long, b long")
 
 
-def _compare_blocks(low: float):
-    """Pairs of a block of members and a block of those outside the hub's component, over the estimate and not yet connected."""
+def _open_pairs(left: pd.DataFrame, right: pd.DataFrame, band: int, low: float, threshold: int):
+    """For each row of right: its number, and the numbers and estimates of the rows of left that may be linked to it.
+
+    A pair is looked at only in the first band that it shares; sizes must allow the threshold, the estimate must reach low.
+    """
+    x, y = (np.frombuffer(b"".join(v["registers"]), np.uint16).reshape(-1, BUCKETS) for v in (left, right))
+    sizes = left["n"].to_numpy()
+    for i, (n, regs) in enumerate(zip(right["n"].to_numpy(), y, strict=True)):
+        equal = x == regs
+        # Eight flags to a word: the words' sum has a count in each byte, and the product adds the bytes up.
+        count = (equal.view(np.uint64).sum(1, dtype=np.uint64) * np.uint64(0x0101010101010101)) >> np.uint64(56)
+        est = estimate(count, sizes, np.full(len(x), n))
+        near = np.flatnonzero((est >= low) & (100 * np.minimum(sizes, n) >= threshold * np.maximum(sizes, n)))
+        if len(near):
+            first = equal[near].reshape(-1, BANDS, ROWS).all(2).argmax(1)
+            near = near[first == band]
+            if len(near):
+                yield i, near, est[near]
+
+
+def _meet(low: float, threshold: int):
+    """The members of a bucket, of one block and one block of outsiders, that take part in a pair still open."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        found: set[int] = set()
+        if len(left) and len(right):
+            ids, comps, band = left["id"].to_numpy(), left["component"].to_numpy(), int(rows["band"].iloc[0])
+            others, own = right["id"].to_numpy(), right["component"].to_numpy()
+            for i, near, _ in _open_pairs(left, right, band, low, threshold):
+                near = near[comps[near] != own[i]]
+                if len(near):
+                    found.update(ids[near].tolist(), [int(others[i])])
+        return pd.DataFrame({"bucket": [key[0]] * len(found), "id": sorted(found)}, columns=["bucket", "id"])
+
+    return run
+
+
+def _link(low: float, threshold: int):
+    """Links between components, confirmed on the full sets; a pair that links found here have connected already is passed over."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = [np.zeros((0, 2), np.int64)]
         left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        links: list[tuple[int, int]] = []
         if len(left) and len(right):
-            x, y = (np.frombuffer(b"".join(v["registers"]), np.uint16).reshape(-1, BUCKETS) for v in (left, right))
-            ids, comps, sizes = (left[c].to_numpy() for c in ("id", "component", "n"))
-            for i, (one, comp, n, regs) in enumerate(zip(right["id"].to_numpy(), right["component"].to_numpy(), right["n"].to_numpy(), y, strict=True)):
-                est = estimate((x == regs).sum(1), sizes, np.full(len(x), n))
-                hit = (est >= low) & (comps != comp)
-                if hit.any():
-                    other = ids[hit]
-                    out.append(np.stack([np.minimum(other, one), np.maximum(other, one)], 1))
-        pairs = np.unique(np.concatenate(out), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+            ids, comps, band = left["id"].to_numpy(), left["component"].to_numpy().copy(), int(rows["band"].iloc[0])
+            others, own = right["id"].to_numpy(), right["component"].to_numpy().copy()
+            sets = [np.frombuffer(v, np.uint64) for v in left["set"]]
+            for i, near, est in _open_pairs(left, right, band, low, threshold):
+                mine = np.frombuffer(right["set"].iloc[i], np.uint64)
+                near = near[np.argsort(-est, kind="stable")]
+                while len(near := near[comps[near] != own[i]]):
+                    now, near = near[:32], near[32:]
+                    every = np.concatenate([sets[k] for k in now])
+                    at = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+                    sizes = np.array([len(sets[k]) for k in now])
+                    shared = np.add.reduceat((mine[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+                    for k in now[100 * shared >= threshold * (len(mine) + sizes - shared)].tolist():
+                        if comps[k] != own[i]:
+                            links.append((int(ids[k]), int(others[i])))
+                            old, new = own[i], comps[k]
+                            comps[comps == old] = new
+                            own[own == old] = new
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _blocked(rows: DataFrame, block: int) -> DataFrame:
+    """Members of a bucket (side 0) against its outsiders (side 1), both cut into blocks: a row for each block it is compared in."""
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n_all"), F.sum(F.col("outside").cast("long")).alias("n_out")).where("n_out > 0")
+    rows = rows.join(sizes, "bucket")
+    members, outsiders = F.ceil(F.col("n_all") / block), F.ceil(F.col("n_out") / block)
+    zero = F.lit(0).cast("long")
+    left = rows.withColumn("side", F.lit(0)).withColumn("i", F.pmod(F.xxhash64("id"), members)).withColumn("j", F.explode(F.sequence(zero, outsiders - 1)))
+    right = rows.where("outside").withColumn("side", F.lit(1)).withColumn("i", F.explode(F.sequence(zero, members - 1))).withColumn("j", F.pmod(F.xxhash64("id", F.lit(1)), outsiders))
+    return left.unionByName(right).drop("n_all", "n_out", "outside")
+
+
 def near_components(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     """docs: doc_id, text. Returns a row for each: doc_id, n_shingles, component_id (smallest doc_id reachable)."""
     rows = docs.select("doc_id", "text")
@@ -236,7 +296,7 @@ def near_components(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) ->
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     # Hubs: the smallest id of each bucket. One exchange deals the bands to their buckets for both uses.
-    banded = classes.select("id", "registers").mapInArrow(_bands, "bucket long, id long").repartition("bucket")
+    banded = classes.select("id", "registers").mapInArrow(_bands, "bucket long, band int, id long").repartition("bucket")
     hubs = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1")
     members = stored(banded.join(hubs.hint("shuffle_hash"), "bucket"), "members")
     low = least_estimate(threshold)
@@ -247,24 +307,20 @@ def near_components(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) ->
     links = stored(confirmed(best, docs, classes, k, threshold), "links")
     parts = stored(connected_components(links), "components")
 
-    # Buckets with several components.
+    # Buckets with several components: first which members have an open pair at all, by their registers alone, then the sets of those.
     of = parts.select(F.col("node").alias("id"), "component")
     known = members.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     hub_of = of.select(F.col("id").alias("hub"), F.col("component").alias("hub_component"))
-    known = stored(known.join(hub_of, "hub", "left").withColumn("hub_component", F.coalesce("hub_component", "hub")).withColumn("outside", F.col("component") != F.col("hub_component")), "bucket-members")
-    mixed = known.groupBy("bucket").agg(F.count("*").alias("n_all"), F.sum(F.col("outside").cast("long")).alias("n_out")).where("n_out > 0")
-    rows_in = known.join(mixed, "bucket").join(classes.select("id", "n", "registers"), "id")
-    left_blocks, right_blocks = F.ceil(F.col("n_all") / BLOCK), F.ceil(F.col("n_out") / BLOCK)
-    own_left, own_right = F.pmod(F.xxhash64("id"), left_blocks), F.pmod(F.xxhash64("id", F.lit(1)), right_blocks)
-    columns = ["bucket", "id", "component", "n", "registers"]
-    left = rows_in.select(*columns, F.lit(0).alias("side"), own_left.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), right_blocks - 1)).alias("j"))
-    right = rows_in.where("outside").select(*columns, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), left_blocks - 1)).alias("i"), own_right.alias("j"))
-    hidden = left.unionByName(right).groupBy("bucket", "i", "j").applyInPandas(_compare_blocks(low), "a long, b long").distinct()
-    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    hidden = stored(hidden.join(tried, ["a", "b"], "left_anti"), "hidden")
-    if hidden.limit(1).count():
-        more = confirmed(hidden, docs, classes, k, threshold)
-        parts = stored(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
+    known = known.join(hub_of, "hub", "left").withColumn("outside", F.col("component") != F.coalesce("hub_component", "hub"))
+    known = stored(known.select("bucket", "band", "id", "component", "outside"), "bucket-members")
+    sketch = classes.select("id", "n", "registers")
+    met = _blocked(known, BLOCK).join(sketch, "id").groupBy("bucket", "i", "j").applyInPandas(_meet(low, threshold), "bucket long, id long")
+    met = stored(met.distinct(), "open-members")
+    if met.limit(1).count():
+        sets = stored(full_sets(docs, classes, met.select("id").distinct(), k).dropDuplicates(["id"]), "open-sets")
+        still = _blocked(known.join(met, ["bucket", "id"], "left_semi"), SET_BLOCK)
+        more = still.join(sketch, "id").join(sets, "id").groupBy("bucket", "i", "j").applyInPandas(_link(low, threshold), "a long, b long")
+        parts = stored(connected_components(stored(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "all-links")), "components")
 
     of = parts.select(F.col("node").alias("id"), "component")
     placed = classes.select("id", "digest", "first_doc").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -283,7 +339,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD
     """The rows of docs whose doc_id is the smallest of its component, all columns."""
     found = near_components(docs, k, threshold)
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return by_ids(docs, gone, "left_anti")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
