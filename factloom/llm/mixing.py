@@ -48,9 +48,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     ranked = ranked.withColumn("cap_before", F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn("w_left", F.col("all_w") - F.coalesce(F.sum("w").over(before), F.lit(0)))
     # The level if every source before this one is capped and no other; the first that lies under its own cap holds for all.
     level = F.when((F.col("total") - F.col("cap_before")) * F.col("w") <= F.col("cap") * F.col("w_left"), (F.col("total") - F.col("cap_before")) / F.col("w_left"))
-    ranked = ranked.withColumn("own", level).withColumn("level", F.max("own").over(everything)).withColumn("open", F.min(F.when(F.col("own").isNotNull(), F.struct(F.col("cap") / F.col("w"), "i"))).over(everything))
+    place = F.struct((F.col("cap") / F.col("w")).alias("ratio"), F.col("i"))
+    ranked = ranked.withColumn("own", level).withColumn("open", F.min(F.when(F.col("own").isNotNull(), place)).over(everything))
     ranked = ranked.withColumn("level", F.max(F.when(F.col("open.i") == F.col("i"), F.col("own"))).over(everything))
-    capped = F.struct(F.col("cap") / F.col("w"), F.col("i")) < F.col("open")
+    capped = place < F.col("open")
     target = F.when(capped | F.col("open").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("level") * F.col("w"), F.col("cap").cast("double")))
     return ranked.select("source", "source_size", target.alias("target"))
 
