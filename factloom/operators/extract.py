@@ -144,8 +144,7 @@ def resume_facts(resumes: DataFrame) -> DataFrame:
         (institutions_of(F.col("_lines")), lambda i: F.concat(F.lit("education["), i, F.lit("].institution")), "explicit education institution line"),
         (skills_of(F.col("_lines")), lambda i: F.concat(F.lit("skills["), i, F.lit("].name")), "explicit skills section"),
     ]
-    for n, (values, _, _) in enumerate(lists):
-        rows = rows.withColumn(f"_l{n}", values)
+    rows = rows.withColumns({f"_l{n}": values for n, (values, _, _) in enumerate(lists)})
 
     def named(n: int, path, label: str) -> Column:
         return F.transform(F.col(f"_l{n}"), lambda v, i: F.struct(path(i.cast("string")).alias("path"), v.alias("value"), F.lit(label).alias("evidence")))
