@@ -27,7 +27,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,8 +41,8 @@ THRESHOLD = 80
 MARGIN = 4.5
 #: Verified first for each class: its best candidates by estimate.
 BEST = 2
-#: Members of a bucket that are compared in one task, by registers and by full sets.
-BLOCK, SET_BLOCK = 1024, 256
+#: Members of a bucket that are compared in one task, and their shingles where full sets are compared.
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 21
 _random = np.random.Generator(np.random.PCG64(20240229))
 _PLACE = _random.integers(1, 1 << 63, 1 << 12, dtype=np.uint64) | np.uint64(1)
 _FACTOR = _random.integers(1, 1 << 63, BUCKETS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -208,40 +207,74 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, thr
     return met.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(threshold), "a long, b long")
 
 
-def _open_pairs(left: pd.DataFrame, right: pd.DataFrame, band: int, low: float, threshold: int):
-    """For each row of right: its number, and the numbers and estimates of the rows of left that may be linked to it.
+class _Group:
+    """Rows of one bucket, block of members and block of outsiders: members first, then outsiders."""
+
+    def __init__(self, rows: dict[str, np.ndarray | list], begin: int, end: int):
+        cut = begin + int(np.searchsorted(rows["side"][begin:end], 1))
+        self.bucket, self.band = int(rows["bucket"][begin]), int(rows["band"][begin])
+        self.left, self.right = ({k: v[a:b] for k, v in rows.items()} for a, b in ((begin, cut), (cut, end)))
+
+
+def _groups(batches, columns: tuple[str, ...]):
+    """Lists of groups, from batches that are sorted by bucket, i, j and side; a group may cross batches."""
+    held = None
+
+    def read(batch, starts, ends):
+        rows = {c: batch.column(c).to_numpy() for c in ("bucket", "band", "id", "component", "n", "side")}
+        rows["registers"] = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        rows |= {c: batch.column(c).to_pylist() for c in columns}
+        return [_Group(rows, a, b) for a, b in zip(starts, ends, strict=True)]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "i", "j")], 1)
+        starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1))).tolist()
+        done = batch.slice(0, starts[-1])
+        if done.num_rows:
+            yield read(done, starts[:-1], starts[1:])
+        held = batch.slice(starts[-1])
+    if held is not None:
+        yield read(held, [0], [held.num_rows])
+
+
+def _open_pairs(g: _Group, low: float, threshold: int):
+    """Pairs between components that may be linked: numbers of the outsider and of the member, and the estimate; some at a time.
 
     A pair is looked at only in the first band that it shares; sizes must allow the threshold, the estimate must reach low.
     """
-    x, y = (np.frombuffer(b"".join(v["registers"]), np.uint16).reshape(-1, BUCKETS) for v in (left, right))
-    sizes = left["n"].to_numpy()
-    for i, (n, regs) in enumerate(zip(right["n"].to_numpy(), y, strict=True)):
-        equal = x == regs
+    x, sizes, comps = g.left["registers"], g.left["n"], g.left["component"]
+    y, own_sizes, own = g.right["registers"], g.right["n"], g.right["component"]
+    step, least = max(1, 4096 // max(1, len(x))), int(low * BUCKETS)
+    for at in range(0, len(y) if len(x) else 0, step):
+        equal = x[None] == y[at : at + step, None]
         # Eight flags to a word: the words' sum has a count in each byte, and the product adds the bytes up.
-        count = (equal.view(np.uint64).sum(1, dtype=np.uint64) * np.uint64(0x0101010101010101)) >> np.uint64(56)
-        est = estimate(count, sizes, np.full(len(x), n))
-        near = np.flatnonzero((est >= low) & (100 * np.minimum(sizes, n) >= threshold * np.maximum(sizes, n)))
-        if len(near):
-            first = equal[near].reshape(-1, BANDS, ROWS).all(2).argmax(1)
-            near = near[first == band]
-            if len(near):
-                yield i, near, est[near]
+        count = (equal.view(np.uint64).sum(2, dtype=np.uint64) * np.uint64(0x0101010101010101)) >> np.uint64(56)
+        n = own_sizes[at : at + step, None]
+        i, k = np.nonzero((count >= least) & (comps != own[at : at + step, None]) & (100 * np.minimum(sizes, n) >= threshold * np.maximum(sizes, n)))
+        if len(i):
+            est = estimate(count[i, k], own_sizes[at + i], sizes[k])
+            keep = (est >= low) & (equal[i, k].reshape(-1, BANDS, ROWS).all(2).argmax(1) == g.band)
+            if keep.any():
+                yield at + i[keep], k[keep], est[keep]
 
 
 def _meet(low: float, threshold: int):
     """The members of a bucket, of one block and one block of outsiders, that take part in a pair still open."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        found: set[int] = set()
-        if len(left) and len(right):
-            ids, comps, band = left["id"].to_numpy(), left["component"].to_numpy(), int(rows["band"].iloc[0])
-            others, own = right["id"].to_numpy(), right["component"].to_numpy()
-            for i, near, _ in _open_pairs(left, right, band, low, threshold):
-                near = near[comps[near] != own[i]]
-                if len(near):
-                    found.update(ids[near].tolist(), [int(others[i])])
-        return pd.DataFrame({"bucket": [key[0]] * len(found), "id": sorted(found)}, columns=["bucket", "id"])
+    def run(batches):
+        for groups in _groups(batches, ()):
+            buckets, ids = [], []
+            for g in groups:
+                for i, k, _ in _open_pairs(g, low, threshold):
+                    found = np.unique(np.concatenate([g.left["id"][k], g.right["id"][i]]))
+                    ids.append(found)
+                    buckets.append(np.full(len(found), g.bucket))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), pa.array(np.concatenate(ids))], ["bucket", "id"])
 
     return run
 
@@ -249,42 +282,53 @@ def _meet(low: float, threshold: int):
 def _link(low: float, threshold: int):
     """Links between components, confirmed on the full sets; a pair that links found here have connected already is passed over."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        links: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            ids, comps, band = left["id"].to_numpy(), left["component"].to_numpy().copy(), int(rows["band"].iloc[0])
-            others, own = right["id"].to_numpy(), right["component"].to_numpy().copy()
-            sets = [np.frombuffer(v, np.uint64) for v in left["set"]]
-            for i, near, est in _open_pairs(left, right, band, low, threshold):
-                mine = np.frombuffer(right["set"].iloc[i], np.uint64)
-                near = near[np.argsort(-est, kind="stable")]
-                while len(near := near[comps[near] != own[i]]):
-                    now, near = near[:32], near[32:]
-                    every = np.concatenate([sets[k] for k in now])
-                    at = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
-                    sizes = np.array([len(sets[k]) for k in now])
-                    shared = np.add.reduceat((mine[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
-                    for k in now[100 * shared >= threshold * (len(mine) + sizes - shared)].tolist():
-                        if comps[k] != own[i]:
-                            links.append((int(ids[k]), int(others[i])))
-                            old, new = own[i], comps[k]
-                            comps[comps == old] = new
-                            own[own == old] = new
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+    def run(batches):
+        for groups in _groups(batches, ("set",)):
+            links: list[tuple[int, int]] = []
+            for g in groups:
+                ids, others = g.left["id"], g.right["id"]
+                comps, own = g.left["component"].copy(), g.right["component"].copy()
+                sets = [np.frombuffer(v, np.uint64) for v in g.left["set"]]
+                for rows, members, est in _open_pairs(g, low, threshold):
+                    for i in np.unique(rows).tolist():
+                        mine, at = np.frombuffer(g.right["set"][i], np.uint64), np.flatnonzero(rows == i)
+                        near = members[at[np.argsort(-est[at], kind="stable")]]
+                        while len(near := near[comps[near] != own[i]]):
+                            now, near = near[:32], near[32:]
+                            every = np.concatenate([sets[k] for k in now])
+                            to = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+                            sizes = np.array([len(sets[k]) for k in now])
+                            shared = np.add.reduceat((mine[to] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+                            for k in now[100 * shared >= threshold * (len(mine) + sizes - shared)].tolist():
+                                if comps[k] != own[i]:
+                                    links.append((int(ids[k]), int(others[i])))
+                                    old, new = own[i], comps[k]
+                                    comps[comps == old] = new
+                                    own[own == old] = new
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
 
     return run
 
 
-def _blocked(rows: DataFrame, block: int) -> DataFrame:
-    """Members of a bucket (side 0) against its outsiders (side 1), both cut into blocks: a row for each block it is compared in."""
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n_all"), F.sum(F.col("outside").cast("long")).alias("n_out")).where("n_out > 0")
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows of a bucket and its blocks together and in order."""
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+
+
+def _blocked(rows: DataFrame, most: int, shingles: int | None = None) -> DataFrame:
+    """Members of a bucket (side 0) against its outsiders (side 1), both cut into blocks: a row for each block it is compared in.
+
+    A block has about so many rows at most and, if given, so many shingles. rows: bucket, id, n, outside and more.
+    """
+    out = F.col("outside").cast("long")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n_all"), F.sum(out).alias("n_out"), F.sum("n").alias("s_all"), F.sum(out * F.col("n")).alias("s_out")).where("n_out > 0")
     rows = rows.join(sizes, "bucket")
-    members, outsiders = F.ceil(F.col("n_all") / block), F.ceil(F.col("n_out") / block)
+    blocks = lambda n, s: F.greatest(F.ceil(F.col(n) / most), F.ceil(F.col(s) / shingles)) if shingles else F.ceil(F.col(n) / most)
+    members, outsiders = blocks("n_all", "s_all"), blocks("n_out", "s_out")
     zero = F.lit(0).cast("long")
     left = rows.withColumn("side", F.lit(0)).withColumn("i", F.pmod(F.xxhash64("id"), members)).withColumn("j", F.explode(F.sequence(zero, outsiders - 1)))
     right = rows.where("outside").withColumn("side", F.lit(1)).withColumn("i", F.explode(F.sequence(zero, members - 1))).withColumn("j", F.pmod(F.xxhash64("id", F.lit(1)), outsiders))
-    return left.unionByName(right).drop("n_all", "n_out", "outside")
+    return left.unionByName(right).drop("n_all", "n_out", "s_all", "s_out", "outside")
 
 
 def near_components(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) -> DataFrame:
@@ -312,14 +356,14 @@ def near_components(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) ->
     known = members.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     hub_of = of.select(F.col("id").alias("hub"), F.col("component").alias("hub_component"))
     known = known.join(hub_of, "hub", "left").withColumn("outside", F.col("component") != F.coalesce("hub_component", "hub"))
-    known = stored(known.select("bucket", "band", "id", "component", "outside"), "bucket-members")
-    sketch = classes.select("id", "n", "registers")
-    met = _blocked(known, BLOCK).join(sketch, "id").groupBy("bucket", "i", "j").applyInPandas(_meet(low, threshold), "bucket long, id long")
+    known = stored(known.select("bucket", "band", "id", "component", "outside").join(classes.select("id", "n"), "id"), "bucket-members")
+    sketch = classes.select("id", "registers")
+    met = _dealt(_blocked(known, BLOCK).join(sketch, "id")).mapInArrow(_meet(low, threshold), "bucket long, id long")
     met = stored(met.distinct(), "open-members")
     if met.limit(1).count():
         sets = stored(full_sets(docs, classes, met.select("id").distinct(), k).dropDuplicates(["id"]), "open-sets")
-        still = _blocked(known.join(met, ["bucket", "id"], "left_semi"), SET_BLOCK)
-        more = still.join(sketch, "id").join(sets, "id").groupBy("bucket", "i", "j").applyInPandas(_link(low, threshold), "a long, b long")
+        still = _blocked(known.join(met, ["bucket", "id"], "left_semi"), BLOCK, BLOCK_SHINGLES)
+        more = _dealt(still.join(sketch, "id").join(sets, "id")).mapInArrow(_link(low, threshold), "a long, b long")
         parts = stored(connected_components(stored(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "all-links")), "components")
 
     of = parts.select(F.col("node").alias("id"), "component")

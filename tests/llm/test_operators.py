@@ -339,7 +339,7 @@ def test_hidden_links_are_found_in_blocks(spark, monkeypatch):
     """A chain whose ends differ: with few candidates verified first and tiny blocks, the second pass has to find the rest."""
     monkeypatch.setattr(neardedup, "BEST", 1)
     monkeypatch.setattr(neardedup, "BLOCK", 3)
-    monkeypatch.setattr(neardedup, "SET_BLOCK", 2)
+    monkeypatch.setattr(neardedup, "BLOCK_SHINGLES", 700)
     words = prose(5, 300).split()
     texts = []
     for i in range(30):
