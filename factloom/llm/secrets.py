@@ -8,10 +8,14 @@ statistics are normal about: chi-squared of the symbols' cells (by Wilson and Hi
 even), the number of runs above and below the alphabet's middle, and the serial correlation of neighbours. Their sum of
 squares gives one p-value: natural strings fall near 0, random ones anywhere.
 
-False-discovery control: over all documents, tokens are counted by encoding, length class and p-value. In each class those
-above 1/2 are taken to be half of the random ones, which tells how many random tokens stand above any other cut; the
-lowest cut at which the rest are at most MAX_FALSE of what stands above is the class's cut. A class in which random tokens
-are fewer than MAX_FALSE of the clearly natural ones reports nothing. The counts are a bounded table.
+False-discovery control: over all documents, distinct tokens are counted by encoding, length class and p-value. In each
+class those above 1/2 are taken to be half of the random ones, which tells how many random tokens stand above any other cut;
+the rest are natural. Natural tokens also leak above 1/2, where that count cannot tell them: natural ones are counted in the
+decades of p from 0.001 to 0.01 and from 0.01 to 0.1, and are taken to thin out at the same rate (not to grow) from 0.1 to 1.
+The lowest cut at which the larger of both estimates is at most MAX_FALSE of what stands above is the class's cut; a class
+without such a cut reports nothing. Those below 0.001, where one of a thousand random tokens falls, must also pass by
+themselves to be reported. How many natural tokens a class has otherwise does not matter. The counts are a bounded
+table.
 
 Spans are KIND:START:END, code points, end exclusive, by start, then kind in the order of KINDS.
 
@@ -21,6 +25,8 @@ scanned whole; other columns are not read; no rows in, no rows out.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +39,7 @@ BASE = (("assign", ASSIGN, 1, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24)
 KINDS = (*(k for k, *_ in BASE), "random")
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 HEX_SYMBOLS, BASE32, BASE64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-MAX_FALSE, BINS, NATURAL = 0.05, 20, 0.01
+MAX_FALSE, BINS, DECADES = 0.05, 20, 4
 #: Upper ends of the length classes; the last is open.
 LENGTHS = (24, 32, 48, 64, 128)
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -145,25 +151,43 @@ def cuts(docs: DataFrame, max_false: float = MAX_FALSE) -> dict[tuple[int, int],
     """The least p-value of each encoding and length class that counts as random; classes that report nothing are left out."""
     tokens = with_spans(docs.where(F.col("text").rlike(TOKEN))).select("text", F.explode("tokens").alias("t"))
     token = tokens.select(F.expr("substring(text, t.start + 1, t.end - t.start)").alias("token"))
-    scored = token.select(encoding(F.col("token")).alias("e"), length_class(F.col("token")).alias("c"), p_value(F.col("token")).alias("p"))
-    scored = scored.select("e", "c", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"), (F.col("p") < NATURAL).cast("long").alias("low"))
-    counts: dict[tuple[int, int], list[int]] = {}
-    low: dict[tuple[int, int], int] = {}
-    for r in scored.groupBy("e", "c", "bin").agg(F.count("*").alias("n"), F.sum("low").alias("low")).collect():  # encodings * classes * bins rows
-        counts.setdefault((r["e"], r["c"]), [0] * BINS)[r["bin"]] = r["n"]
-        low[r["e"], r["c"]] = low.get((r["e"], r["c"]), 0) + r["low"]
-    return {key: cut for key, n in counts.items() if (cut := _cut(n, low[key], max_false)) is not None}
+    scored = token.select(encoding(F.col("token")).alias("e"), length_class(F.col("token")).alias("c"), p_value(F.col("token")).alias("p"), F.md5(F.col("token").cast("binary")).alias("digest"))
+    p, decade = F.col("p"), F.lit(DECADES - 1)
+    for i in reversed(range(DECADES - 1)):
+        decade = F.when(p >= 0.1 ** (i + 1), F.lit(i)).otherwise(decade)
+    distinct = scored.select("e", "c", F.least(F.floor(p * BINS), F.lit(BINS - 1)).cast("int").alias("bin"), decade.alias("decade"), "digest").distinct()
+    bins: dict[tuple[int, int], list[int]] = {}
+    decades: dict[tuple[int, int], list[int]] = {}
+    for r in distinct.groupBy("e", "c", "bin", "decade").agg(F.count("*").alias("n")).collect():  # encodings * classes * (bins + decades) rows
+        bins.setdefault((r["e"], r["c"]), [0] * BINS)[r["bin"]] += r["n"]
+        decades.setdefault((r["e"], r["c"]), [0] * DECADES)[r["decade"]] += r["n"]
+    return {key: cut for key, n in bins.items() if (cut := _cut(n, decades[key], max_false)) is not None}
+
+
+def _leak(decades: list[int], random: int):
+    """A function from a cut to the natural tokens above it: those from 0.1 to 1 continue the two decades below."""
+    last, before = (max(0.0, decades[i] - random * 0.9 * 0.1**i) for i in (1, 2))
+    rate = min(1.0, last / before) if before else 1.0
+
+    def above(cut: float) -> float:
+        t = max(0.0, math.log10(cut) + 1) if cut else 0.0
+        return last * rate * (1 - t if rate == 1 else (rate**t - rate) / (1 - rate))
+
+    return above
 
 
-def _cut(bins: list[int], natural: int, max_false: float) -> float | None:
+def _cut(bins: list[int], decades: list[int], max_false: float) -> float | None:
+    """bins: distinct tokens by p-value, in equal bins; decades: the same tokens by decade, from 0.1 to 1 first."""
     random = 2 * sum(bins[BINS // 2 :])
-    if random <= max_false * natural:
-        return None
-    for i in range(BINS // 2):
-        above = sum(bins[i:])
-        if above and above - random * (1 - i / BINS) <= max_false * above:
-            return i / BINS
-    return 0.5
+    leak = _leak(decades, random)
+    total, lowest, least = sum(bins), decades[-1], 0.1 ** (DECADES - 1)
+    above = {0.0: total, least: total - lowest, **{i / BINS: sum(bins[i:]) for i in range(1, BINS)}}
+    for cut, n in above.items():
+        if cut == 0 and lowest - random * least > max_false * lowest:
+            continue  # the lowest decade holds more than random tokens would
+        if n and max(n - random * (1 - cut), leak(cut)) <= max_false * n:
+            return cut
+    return None
 
 
 def scan(docs: DataFrame, max_false: float = MAX_FALSE) -> DataFrame:

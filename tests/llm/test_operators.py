@@ -140,6 +140,28 @@ def test_random_tokens_are_told_from_natural_ones(spark):
     assert got[0].spans in ("", "random:4:44")
 
 
+def test_random_tokens_are_told_among_a_hundred_times_as_many_natural_ones(spark):
+    r = np.random.default_rng(9)
+    symbols = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+    random = ["".join(r.choice(symbols, 40)) for _ in range(60)]
+    words = "account archive billing channel customer delivery document element factory gateway handler invoice journal kernel ledger manager network object packet queue record service template update vector window".split()
+    natural = sorted({t for _ in range(40_000) if 32 <= len(t := "_/"[r.integers(2)].join(r.choice(words, 5))) < 48})[:6000]
+    assert len(natural) == 6000
+    found = {}
+    for repeats in (0, 5000):  # of one natural token, in a document of its own each
+        got = by_id(secrets.scan(docs_of(spark, [f"see {t} there" for t in random + natural] + [f"see {natural[0]} there"] * repeats)))
+        found[repeats] = [i for i, x in got.items() if x.n_random]
+        assert sum(i < 60 for i in found[repeats]) >= 40
+        assert sum(i >= 60 for i in found[repeats]) <= 0.05 * len(found[repeats])
+    assert found[0] == found[5000]
+
+
+def test_natural_tail_is_not_taken_for_random():
+    tail = [5600, 8, 5, 4, 3, 2, 2, 2, 1, 1, 1, 1, 1, 0, 1, 0, 0, 0, 0, 0]  # natural tokens alone, thinning out
+    assert secrets._cut(tail, [24, 70, 240, 5298], secrets.MAX_FALSE) is None
+    assert secrets._cut([20_000] + [20] * 19, [360, 36, 4, 19_980], secrets.MAX_FALSE) is not None
+
+
 # Chat
 
 
