@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import decontam, exactdedup, mixing, neardedup, toxicity
-from factloom.llm.common import by_ids, read_table, stored
+from factloom.llm.common import by_keys, keyed, read_table, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects (score of 0.5 or more) go. The model learns from the training rows of labels."""
-    scored = toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+    scored = toxicity.score(keyed(docs), toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
     return _without(docs, scored.where("predicted = 1"))
 
 
@@ -30,7 +30,7 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten words in a row of a benchmark item go."""
-    found = decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+    found = decontam.decontaminate(keyed(docs), read_table(spark, sf_dir, "benchmark"))
     return _without(docs, found.where("contaminated"))
 
 
@@ -40,9 +40,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the documents in gone. The list is written first; Spark sends it to all executors only below its own size limit."""
-    ids = stored(gone.select("doc_id").distinct(), "gone")
-    return by_ids(docs, ids, "left_anti")
+    """docs without the rows whose keys (common.keyed) are in gone: rows of the same doc_id and text are judged alike.
+
+    The list is written first; Spark sends it to all executors only below its own size limit.
+    """
+    keys = stored(gone.select("doc_id.doc_id", "doc_id.digest").distinct(), "gone")
+    return by_keys(docs, keys, "left_anti")
 
 
 STAGES = [

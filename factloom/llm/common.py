@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -45,13 +45,28 @@ def stored(df: DataFrame, label: str, partition_by: str | None = None) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs left_semi or left_anti the doc_ids in the one column of ids; null equals null. The column's name cannot clash."""
-    name, taken = "_id", {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    ids = ids.toDF(name)
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(name)), how)
+def text_digest() -> Column:
+    """SHA-256 of a document's text; null for null."""
+    return F.unhex(F.sha2(F.col("text").cast("binary"), 256))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id, text with a key for doc_id that tells rows of one doc_id (or none) but different texts apart.
+
+    Keys are ordered by doc_id (null last), then digest. Operators that hand doc_id through hand the key through.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("doc_id"), text_digest().alias("digest"))
+    return docs.select(key.alias("doc_id"), "text")
+
+
+def by_keys(docs: DataFrame, keys: DataFrame, how: str, digest: Column | None = None) -> DataFrame:
+    """docs left_semi or left_anti the two columns of keys, doc_id and digest of the text; null equals null. No name can clash."""
+    taken, tail = {c.lower() for c in docs.columns}, ""
+    while taken & {"_id" + tail, "_digest" + tail}:
+        tail += "_"
+    keys = keys.toDF("_id" + tail, "_digest" + tail)
+    digest = text_digest() if digest is None else digest
+    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_id" + tail)) & digest.eqNullSafe(F.col("_digest" + tail)), how)
 
 
 def text_list(array) -> list[str]:

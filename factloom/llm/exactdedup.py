@@ -22,10 +22,10 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, BROADCAST_BYTES, by_ids, read_table, stored, text_list
+from .common import ASCII_SPACE, BROADCAST_BYTES, by_keys, read_table, stored, text_list
 
 #: Fingerprints of one owner, about, so that its task is bounded; and rows of a chunk.
 OWNER_ROWS, CHUNK_ROWS = 1 << 21, 1 << 13
@@ -191,13 +191,20 @@ def exact_groups(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Dat
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, all columns. Rows that repeat a kept document's doc_id and text whole are dropped too."""
-    gone = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("keep_id").alias("_keep"))
-    # A dropped row with its keeper's own doc_id is a repeated row: all but one of its copies go, by their content.
-    own = F.col("_gone").eqNullSafe(F.col("_keep"))
-    repeated = gone.where(own).select("_gone").distinct()
-    out = by_ids(docs, gone.where(~own).select("_gone"), "left_anti")
-    return by_ids(out, repeated, "left_anti").unionByName(by_ids(out, repeated, "left_semi").dropDuplicates(["doc_id"]))
+    """The rows of docs that stay, all columns: one of each group. Rows are told by doc_id and the digest of the normalised text."""
+    gone = exact_groups(docs).where("not kept").select("doc_id", F.unhex("text_sha256").alias("digest"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("own"))
+    gone = stored(gone.distinct(), "exact-gone")
+    spaces = ASCII_SPACE.decode()
+    digest = F.unhex(F.sha2(F.translate(F.coalesce("text", F.lit("")), spaces, "").cast("binary"), 256))
+    # A dropped row with its keeper's own doc_id: of the rows of this doc_id and text, but for white space, the longest stays.
+    out = by_keys(docs, gone.where(~F.col("own")).select("doc_id", "digest"), "left_anti", digest)
+    repeated = gone.where("own").select("doc_id", "digest")
+    longest = F.row_number().over(Window.partitionBy("doc_id", digest).orderBy(F.length("text").desc(), F.col("text")))
+    place = "_place"
+    while place in {c.lower() for c in docs.columns}:
+        place += "_"
+    first = by_keys(out, repeated, "left_semi", digest).withColumn(place, longest).where(F.col(place) == 1).drop(place)
+    return by_keys(out, repeated, "left_anti", digest).unionByName(first)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, by_ids, read_table, stored, text_list
+from .common import BROADCAST_BYTES, by_keys, keyed, read_table, stored, text_list
 from .components import connected_components
 
 BANDS, ROWS = 40, 4
@@ -380,10 +380,10 @@ def with_registers(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, all columns."""
-    found = near_components(docs, k, threshold)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return by_ids(docs, gone, "left_anti")
+    """Of each component the document with the smallest doc_id (null last), then text digest, all columns; rows that repeat it whole stay."""
+    found = near_components(keyed(docs), k, threshold)
+    gone = found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id.doc_id", "doc_id.digest").distinct()
+    return by_keys(docs, gone, "left_anti")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,3 +83,28 @@ def test_stages_keep_the_columns(spark, folder):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, folder)
         assert out.columns == docs.columns and stage(spark, docs.limit(0), folder).count() == 0
+
+
+# Rows of one doc_id, or none, with different texts
+
+
+def texts_left(stage, spark, rows, folder):
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return sorted(((-1 if r.doc_id is None else r.doc_id, r.text) for r in stage(spark, docs, folder).collect()), key=str)
+
+
+@pytest.mark.parametrize("i", [None, 900])
+def test_stages_drop_the_rows_judged_not_their_ids(spark, folder, i):
+    n = -1 if i is None else i
+    r = np.random.default_rng(3)
+    clean = [" ".join(f"w{x}" for x in r.integers(0, 400, 80)) for _ in range(3)]
+    foul = clean[0].replace(" ", " vile foul scum ", 4)
+    held = f"{clean[1]} {corpus()[2][0]}"
+    near = clean[2].rsplit(" ", 1)[0] + " changed"
+    known = [(x, t) for x, t in enumerate(corpus()[0])]  # toxicity is learnt from these
+    left = texts_left(corpus_pipeline.drop_toxic, spark, [*known, (i, foul), (i, clean[1])], folder)
+    assert (n, clean[1]) in left and (n, foul) not in left
+    assert texts_left(corpus_pipeline.drop_contaminated, spark, [(i, held), (i, clean[0])], folder) == [(n, clean[0])]
+    assert texts_left(corpus_pipeline.drop_exact, spark, [(i, "x"), (i, "x"), (i, " x"), (i, "y"), (1, "z z"), (i, "zz")], folder) == sorted([(n, " x"), (n, "y"), (1, "z z")], key=str)
+    assert texts_left(corpus_pipeline.drop_near, spark, [(1, clean[2]), (i, near), (i, clean[0]), (i, ""), (i, None)], folder) == sorted([(1, clean[2]), (n, clean[0]), (n, ""), (n, None)], key=str)
+    assert len(texts_left(corpus_pipeline.drop_near, spark, [(i, clean[2]), (i, near), (i, clean[0])], folder)) == 2
