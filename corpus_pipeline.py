@@ -7,15 +7,16 @@ returns a row for each document kept so far with the number of its words that th
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.llm import decontam, exactdedup, mixing, neardedup, toxicity
-from factloom.llm.common import by_keys, keyed, read_table, stored
+from factloom.llm.common import read_table, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects (score of 0.5 or more) go. The model learns from the training rows of labels."""
-    scored = toxicity.score(keyed(docs), toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
-    return _without(docs, scored.where("predicted = 1"))
+    scored = toxicity.score(_whole(docs), toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+    return scored.where("predicted = 0").select("doc_id.*")
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +31,8 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten words in a row of a benchmark item go."""
-    found = decontam.decontaminate(keyed(docs), read_table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated"))
+    found = decontam.decontaminate(_whole(docs), read_table(spark, sf_dir, "benchmark"))
+    return found.where("not contaminated").select("doc_id.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +40,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose keys (common.keyed) are in gone: rows of the same doc_id and text are judged alike.
-
-    The list is written first; Spark sends it to all executors only below its own size limit.
-    """
-    keys = stored(gone.select("doc_id.doc_id", "doc_id.digest").distinct(), "gone")
-    return by_keys(docs, keys, "left_anti")
+def _whole(docs: DataFrame) -> DataFrame:
+    """docs: any columns with text. Returns doc_id, text with the whole row for doc_id, which the operators hand through: rows are judged where they are."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_id"), "text")
 
 
 STAGES = [

@@ -192,8 +192,7 @@ def exact_groups(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Dat
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, all columns: one of each group. Rows are told by doc_id and the digest of the normalised text."""
-    gone = exact_groups(docs).where("not kept").select("doc_id", F.unhex("text_sha256").alias("digest"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("own"))
-    gone = stored(gone.distinct(), "exact-gone")
+    gone = exact_groups(docs).where("not kept").select("doc_id", F.unhex("text_sha256").alias("digest"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("own")).distinct()
     spaces = ASCII_SPACE.decode()
     digest = F.unhex(F.sha2(F.translate(F.coalesce("text", F.lit("")), spaces, "").cast("binary"), 256))
     # A dropped row with its keeper's own doc_id: of the rows of this doc_id and text, but for white space, the longest stays.
