@@ -360,9 +360,9 @@ u AS (SELECT DISTINCT user_id FROM events)
 SELECT u.user_id, f.field, count(p.src) AS n FROM u CROSS JOIN f LEFT JOIN p ON p.user_id = u.user_id AND p.event_type = f.field GROUP BY 1, 2""")
 def field_provenance_lookup(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(1000).collect()]  # the fields of a profile, a fixed few
+    kinds = e.select(F.col("event_type").alias("field")).distinct()
     users = e.groupBy("user_id").agg(F.collect_set(F.struct(F.upper("event_type").alias("path"), (F.col("event_id") % 2).alias("src"))).alias("provenance"))
-    fields = users.select("user_id", "provenance", F.explode(F.array(*map(F.lit, kinds))).alias("field"))
+    fields = users.crossJoin(kinds)
     return fields.select("user_id", "field", F.size(F.filter("provenance", lambda p: X.match_path(p["path"]) == X.match_path(F.col("field")))).cast("long").alias("n"))
 
 

@@ -20,3 +20,10 @@ def test_cli(spark, tmp_path, capsys):
 def test_registry_names_and_sql():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and "full_pipeline" in queries
+
+
+def test_every_event_type_is_a_field(spark, tmp_path):
+    rows = [(1, i, f"type{i:04d}") for i in range(1100)] + [(2, 5000, "type1099")]
+    spark.createDataFrame(rows, "user_id long, event_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = entry.queries()["field_provenance_lookup"](spark, str(tmp_path)).collect()
+    assert len(got) == 2 * 1100 and sum(r.n for r in got) == 1101
