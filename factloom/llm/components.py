@@ -23,7 +23,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     for _ in range(max_rounds):
         # Large star: every neighbour above a node moves to the node's smallest neighbour, itself included.
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # Written, so that the join may split the neighbours of a hub.
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: every neighbour below a node, and the node, move to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))

@@ -10,16 +10,20 @@ is one shingle). Documents are linked if 100 * intersection >= 80 * union, and a
    candidate of the hub: as many candidates as members, however large the bucket.
 4. Candidates are ranked by the collision-corrected estimate; each class's best are verified on the full sets, and
    components are built from the links.
-5. Buckets that hold several components still may hide a link. Their members are compared in blocks, each against
-   those outside the hub's component, and each pair in the first band it shares: by sizes and estimate at first, then, for
-   members that have such a pair, on the full sets inside the same blocks. Tasks return links, not pairs, and components
-   are built again. So no pair of a bucket is left out unless it is connected already.
+5. Buckets that hold several components still may hide a link. Those of more than BLOCK members get a further hub, from a
+   component that no hub of theirs stands in, and so on until a round brings no link: each round is linear in the members.
+6. In the buckets left, members are compared in blocks, each against those outside the bucket's largest component, and each
+   pair in the first band it shares: by sizes and estimate at first, then, for members that have such a pair, on the full
+   sets inside the same blocks. Tasks return each member or link once, never pairs, and components are built again. So no
+   pair of a bucket is left out unless it is connected already.
 
 A pair of similarity 0.8 meets in no band with probability (1 - 0.8 ** ROWS) ** BANDS, under 1e-9, and falls under the estimate's
 margin of 4.5 standard deviations with probability under 1e-5.
 
-Defined cases: null text, empty text and text without words have an empty set, and are linked with nothing; repeated rows
-are one class; a null doc_id belongs to no component but its class's; other columns are not read; no rows in, no rows out.
+Defined cases: null text, empty text and text without words have an empty set, and are linked with nothing; a very long
+text is hashed whole, its registers in pieces; repeated rows are one class; ties (equal estimates, equal smallest ids) are
+settled by the class's number, and cannot change a component; a null doc_id belongs to no component but its class's; other
+columns are not read; no rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -144,12 +148,13 @@ def _bands(batches):
         if not batch.num_rows:
             continue
         regs = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
+        ids, sizes = (np.repeat(batch.column(c).to_numpy(), BANDS) for c in ("id", "n"))
         h = np.zeros(regs.shape[:2], np.uint64)
         for i in range(ROWS):
             h = _mix(h + (regs[:, :, i] + np.uint64(1)) * _BAND[None, :, i])
         h = _mix(h ^ _BAND[None, :, ROWS])
         band = np.tile(np.arange(BANDS, dtype=np.int32), len(h))
-        yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(band), pa.array(np.repeat(batch.column("id").to_numpy(), BANDS))], ["bucket", "band", "id"])
+        yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(band), pa.array(ids), pa.array(sizes)], ["bucket", "band", "id", "n"])
 
 
 def _estimates(low: float):
@@ -263,18 +268,19 @@ def _open_pairs(g: _Group, low: float, threshold: int):
 
 
 def _meet(low: float, threshold: int):
-    """The members of a bucket, of one block and one block of outsiders, that take part in a pair still open."""
+    """The members of a bucket, of one block and one block of outsiders, that take part in a pair still open: each once."""
 
     def run(batches):
         for groups in _groups(batches, ()):
             buckets, ids = [], []
             for g in groups:
+                members, outsiders = np.zeros(len(g.left["id"]), bool), np.zeros(len(g.right["id"]), bool)
                 for i, k, _ in _open_pairs(g, low, threshold):
-                    found = np.unique(np.concatenate([g.left["id"][k], g.right["id"][i]]))
-                    ids.append(found)
-                    buckets.append(np.full(len(found), g.bucket))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), pa.array(np.concatenate(ids))], ["bucket", "id"])
+                    outsiders[i] = members[k] = True
+                found = np.union1d(g.left["id"][members], g.right["id"][outsiders])
+                ids.append(found)
+                buckets.append(np.full(len(found), g.bucket))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), pa.array(np.concatenate(ids))], ["bucket", "id"])
 
     return run
 
@@ -315,20 +321,46 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
 
 
-def _blocked(rows: DataFrame, most: int, shingles: int | None = None) -> DataFrame:
+def bucket_sizes(known: DataFrame) -> DataFrame:
+    """known: bucket, component, n. For each bucket of several components: its largest one (main), members and shingles in all and outside of it."""
+    counts = known.groupBy("bucket", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    largest = F.max(F.struct("rows", "shingles", "component")).alias("m")
+    sizes = counts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("rows").alias("n_all"), F.sum("shingles").alias("s_all"), largest).where("parts > 1")
+    return stored(sizes.select("bucket", "n_all", "s_all", F.expr("n_all - m.rows").alias("n_out"), F.expr("s_all - m.shingles").alias("s_out"), F.col("m.component").alias("main")), "open-buckets")
+
+
+def _blocked(rows: DataFrame, sizes: DataFrame, most: int, shingles: int | None = None) -> DataFrame:
     """Members of a bucket (side 0) against its outsiders (side 1), both cut into blocks: a row for each block it is compared in.
 
-    A block has about so many rows at most and, if given, so many shingles. rows: bucket, id, n, outside and more.
+    A block has about so many rows at most and, if given, so many shingles. rows: bucket, band, id, n, component; sizes: of the same rows.
     """
-    out = F.col("outside").cast("long")
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n_all"), F.sum(out).alias("n_out"), F.sum("n").alias("s_all"), F.sum(out * F.col("n")).alias("s_out")).where("n_out > 0")
-    rows = rows.join(sizes, "bucket")
+    rows = rows.join(sizes, "bucket").withColumn("outside", F.col("component") != F.col("main"))
     blocks = lambda n, s: F.greatest(F.ceil(F.col(n) / most), F.ceil(F.col(s) / shingles)) if shingles else F.ceil(F.col(n) / most)
     members, outsiders = blocks("n_all", "s_all"), blocks("n_out", "s_out")
     zero = F.lit(0).cast("long")
     left = rows.withColumn("side", F.lit(0)).withColumn("i", F.pmod(F.xxhash64("id"), members)).withColumn("j", F.explode(F.sequence(zero, outsiders - 1)))
     right = rows.where("outside").withColumn("side", F.lit(1)).withColumn("i", F.explode(F.sequence(zero, members - 1))).withColumn("j", F.pmod(F.xxhash64("id", F.lit(1)), outsiders))
-    return left.unionByName(right).drop("n_all", "n_out", "s_all", "s_out", "outside")
+    return left.unionByName(right).drop("n_all", "n_out", "s_all", "s_out", "main", "outside")
+
+
+def _verified(star: DataFrame, docs: DataFrame, classes: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Links among the candidates (a, b): each b's best a's by estimate, confirmed on the full sets."""
+    est = with_registers(star.distinct(), classes).mapInArrow(_estimates(least_estimate(threshold)), "a long, b long, est double")
+    # A class has as many candidates as bands at most.
+    best = est.groupBy("b").agg(F.array_sort(F.collect_list(F.struct((-F.col("est")).alias("e"), "a"))).alias("c"))
+    best = stored(best.select("b", F.explode(F.slice("c", 1, BEST)).alias("c")).select("c.a", "b"), "best")
+    return stored(confirmed(best, docs, classes, k, threshold), "links")
+
+
+def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links."""
+    edges = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
+    return stored(connected_components(stored(edges, "all-links")), "components")
+
+
+def _placed(members: DataFrame, parts: DataFrame) -> DataFrame:
+    of = parts.select(F.col("node").alias("id"), "component")
+    return stored(members.join(of, "id", "left").withColumn("component", F.coalesce("component", "id")), "bucket-members")
 
 
 def near_components(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) -> DataFrame:
@@ -339,36 +371,42 @@ def near_components(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) ->
     classes = some.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
-    # Hubs: the smallest id of each bucket. One exchange deals the bands to their buckets for both uses.
-    banded = classes.select("id", "registers").mapInArrow(_bands, "bucket long, band int, id long").repartition("bucket")
+    # Hubs: the smallest id of each bucket. They are written, so that the join may split the members of a hot bucket.
+    banded = stored(classes.select("id", "n", "registers").mapInArrow(_bands, "bucket long, band int, id long, n long"), "bands")
     hubs = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    members = stored(banded.join(hubs.hint("shuffle_hash"), "bucket"), "members")
-    low = least_estimate(threshold)
-    star = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    est = with_registers(star, classes).mapInArrow(_estimates(low), "a long, b long, est double")
-    # The best candidates of each class: a class has as many candidates as bands at most.
-    best = stored(est.groupBy("b").agg(F.array_sort(F.collect_list(F.struct((-F.col("est")).alias("e"), "a"))).alias("c")).select("b", F.explode(F.slice("c", 1, BEST)).alias("c")).select("c.a", "b"), "best")
-    links = stored(confirmed(best, docs, classes, k, threshold), "links")
-    parts = stored(connected_components(links), "components")
-
-    # Buckets with several components: first which members have an open pair at all, by their registers alone, then the sets of those.
-    of = parts.select(F.col("node").alias("id"), "component")
-    known = members.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    hub_of = of.select(F.col("id").alias("hub"), F.col("component").alias("hub_component"))
-    known = known.join(hub_of, "hub", "left").withColumn("outside", F.col("component") != F.coalesce("hub_component", "hub"))
-    known = stored(known.select("bucket", "band", "id", "component", "outside").join(classes.select("id", "n"), "id"), "bucket-members")
-    sketch = classes.select("id", "registers")
-    met = _dealt(_blocked(known, BLOCK).join(sketch, "id")).mapInArrow(_meet(low, threshold), "bucket long, id long")
+    hubs = stored(hubs.select("bucket", "hub"), "hubs")
+    members = stored(banded.join(hubs, "bucket"), "members")
+    star = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    parts = stored(connected_components(_verified(star, docs, classes, k, threshold)), "components")
+
+    known = _placed(members.drop("hub"), parts)
+    sizes = bucket_sizes(known)
+    while sizes.where(F.col("n_all") > BLOCK).limit(1).count():
+        large = known.join(sizes.where(F.col("n_all") > BLOCK).select("bucket"), "bucket", "left_semi")
+        stands = hubs.join(parts.select(F.col("node").alias("hub"), "component"), "hub", "left").select("bucket", F.coalesce("component", "hub").alias("component"))
+        further = large.join(stands.distinct(), ["bucket", "component"], "left_anti").groupBy("bucket").agg(F.min(F.struct("id", "component")).alias("h"))
+        further = stored(further.select("bucket", F.col("h.id").alias("hub"), F.col("h.component").alias("own")), "further-hubs")
+        star = large.join(further, "bucket").where("component <> own").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+        links = _verified(star, docs, classes, k, threshold)
+        if not links.limit(1).count():
+            break
+        parts, hubs = _joined(parts, links), hubs.unionByName(further.select("bucket", "hub"))
+        known = _placed(known.join(sizes.select("bucket"), "bucket", "left_semi").drop("component"), parts)
+        sizes = bucket_sizes(known)
+
+    # What is left: first which members have an open pair at all, by their registers alone, then the sets of those.
+    sketch, low = classes.select("id", "registers"), least_estimate(threshold)
+    met = _dealt(_blocked(known, sizes, BLOCK).join(sketch, "id")).mapInArrow(_meet(low, threshold), "bucket long, id long")
     met = stored(met.distinct(), "open-members")
     if met.limit(1).count():
         sets = stored(full_sets(docs, classes, met.select("id").distinct(), k).dropDuplicates(["id"]), "open-sets")
-        still = _blocked(known.join(met, ["bucket", "id"], "left_semi"), BLOCK, BLOCK_SHINGLES)
-        more = _dealt(still.join(sketch, "id").join(sets, "id")).mapInArrow(_link(low, threshold), "a long, b long")
-        parts = stored(connected_components(stored(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "all-links")), "components")
+        still = stored(known.join(met, ["bucket", "id"], "left_semi"), "open-known")
+        still = _blocked(still, bucket_sizes(still), BLOCK, BLOCK_SHINGLES)
+        parts = _joined(parts, _dealt(still.join(sketch, "id").join(sets, "id")).mapInArrow(_link(low, threshold), "a long, b long"))
 
     of = parts.select(F.col("node").alias("id"), "component")
     placed = classes.select("id", "digest", "first_doc").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    smallest = placed.groupBy("component").agg(F.min("first_doc").alias("component_id"))
+    smallest = stored(placed.groupBy("component").agg(F.min("first_doc").alias("component_id")), "component-ids")
     placed = placed.join(smallest, "component").select("digest", "component_id")
     out = sketches.select("doc_id", "n_shingles", "digest").join(placed, "digest", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
