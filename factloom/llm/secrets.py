@@ -19,8 +19,12 @@ table.
 
 Spans are KIND:START:END, code points, end exclusive, by start, then kind in the order of KINDS.
 
-Defined cases: null or empty text has no spans; repeated rows count and return as rows of their own; a text of one token is
-scanned whole; other columns are not read; no rows in, no rows out.
+Texts are read once: spans, and of each token its statistics and digest, are written to the shared folder, and cuts and
+results come from there. Sums and overlaps along a text's spans are folded in blocks, so that a text of very many spans
+takes time in proportion to them.
+
+Defined cases: null or empty text has no spans; repeated rows count and return as rows of their own; a very long text, or a
+text of one token, is scanned whole; spans of one start go by kind; other columns are not read; no rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, stored
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]+"
@@ -43,6 +47,9 @@ MAX_FALSE, BINS, DECADES = 0.05, 20, 4
 #: Upper ends of the length classes; the last is open.
 LENGTHS = (24, 32, 48, 64, 128)
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
+#: Elements that are folded one by one; a longer array is folded block by block.
+FOLD = 256
+_FAR = (1 << 31) - 1
 
 
 def bound(value: Column, body) -> Column:
@@ -50,23 +57,61 @@ def bound(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def spans_of(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0, look: str | None = None) -> Column:
+def running(values: Column, op, zero: int) -> Column:
+    """For each element, zero and all elements before it under op (ints). An array grows by copies only inside a block."""
+
+    def fold(xs: Column) -> Column:
+        start = F.struct(F.lit(zero).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(xs, start, lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def joined(blocks: Column) -> Column:
+        ahead = fold(F.transform(blocks, lambda b: b["at"]))["out"]
+        return F.flatten(F.zip_with(blocks, ahead, lambda b, a: F.transform(b["out"], lambda x: op(a, x))))
+
+    def whole(v: Column) -> Column:
+        last = F.floor((F.size(v) - 1) / FOLD).cast("int")
+        return bound(F.transform(F.sequence(F.lit(0), last), lambda b: fold(F.slice(v, b * FOLD + 1, FOLD))), joined)
+
+    return bound(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(F.array().cast("array<int>")))
+
+
+def spans_of(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0, look: str | None = None, with_token: bool = False) -> Column:
     """Spans of a pattern's matches: what lies between the matches gives their places. look: a cheaper pattern that any match contains."""
     match, measured = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, group))
-    none = F.array().cast(_SPAN)
+    none = F.array().cast(_SPAN.replace("end:int", "end:int,token:string") if with_token else _SPAN)
 
     def walk(m: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(m["gaps"], i))
-            end = start + F.length(F.get(m["match"], i))
-            span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-            return F.struct(end.alias("at"), F.when(F.length(F.get(m["measured"], i)) >= least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        gaps = F.transform(F.slice(m["gaps"], 1, F.size(m["match"])), F.length)
+        sizes = F.transform(m["match"], F.length)
+        places = F.struct(gaps.alias("gaps"), sizes.alias("sizes"))
+        return bound(places, lambda p: bound(running(F.zip_with(p["gaps"], p["sizes"], lambda g, n: g + n), lambda a, b: a + b, 0), lambda at: placed(m, p, at)))
+
+    def placed(m: Column, p: Column, at: Column) -> Column:
+        def span(token: Column, i: Column) -> Column:
+            start = F.get(at, i) + F.get(p["gaps"], i)
+            found = [start.alias("start"), F.lit(kind).alias("kind"), (start + F.get(p["sizes"], i)).alias("end")]
+            return F.struct(*found, token.alias("token")) if with_token else F.struct(*found)
+
+        spans = F.transform(m["match"], span)
+        return F.filter(spans, lambda _, i: F.length(F.get(m["measured"], i)) >= least) if least else spans
+
+    parts = [match.alias("match"), F.split(text, pattern, -1).alias("gaps"), *([measured.alias("measured")] if least else [])]
+    return F.when(text.rlike(look or pattern), bound(F.struct(*parts), walk)).otherwise(none)  # a look first: most texts have none
 
-        places = F.transform(m["match"], lambda _, i: i)
-        return F.aggregate(places, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
-    parts = F.struct(match.alias("match"), measured.alias("measured"), F.split(text, pattern, -1).alias("gaps"))
-    return F.when(text.rlike(look or pattern), bound(parts, walk)).otherwise(none)  # a look first: most texts have none
+def apart(tokens: Column, spans: Column) -> Column:
+    """The tokens that overlap no span. Both are sorted by start together: no span before a token ends behind its start, and the next one begins at its end or later."""
+    with_place = lambda xs: F.transform(xs, lambda s, i: F.struct(s["start"], s["kind"], s["end"], i.alias("i")))
+    is_span = lambda e: e["kind"] < len(BASE)
+
+    def kept(every: Column) -> Column:
+        ends = F.transform(every, lambda e: F.when(is_span(e), e["end"]).otherwise(F.lit(0)))
+        starts = F.transform(F.reverse(every), lambda e: F.when(is_span(e), e["start"]).otherwise(F.lit(_FAR)))
+        around = F.struct(running(ends, F.greatest, 0).alias("before"), F.reverse(running(starts, F.least, _FAR)).alias("after"))
+        free = lambda a: F.filter(every, lambda e, i: ~is_span(e) & (F.get(a["before"], i) <= e["start"]) & (F.get(a["after"], i) >= e["end"]))
+        return bound(around, lambda a: F.transform(free(a), lambda e: F.get(tokens, e["i"])))
+
+    return bound(F.array_sort(F.concat(with_place(spans), with_place(tokens))), kept)
 
 
 def encoding(token: Column) -> Column:
@@ -140,18 +185,21 @@ def base_spans(text: Column) -> Column:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. Adds base and tokens (start, kind, end): those tokens that overlap no base span."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = rows.select("doc_id", "text", base_spans(F.col("text")).alias("base"), spans_of(F.col("text"), TOKEN, len(BASE)).alias("every"))
-    free = F.filter("every", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return found.select("doc_id", "text", "base", F.when(F.size("every") > 0, free).otherwise(F.col("every")).alias("tokens"))
-
-
-def cuts(docs: DataFrame, max_false: float = MAX_FALSE) -> dict[tuple[int, int], float]:
-    """The least p-value of each encoding and length class that counts as random; classes that report nothing are left out."""
-    tokens = with_spans(docs.where(F.col("text").rlike(TOKEN))).select("text", F.explode("tokens").alias("t"))
-    token = tokens.select(F.expr("substring(text, t.start + 1, t.end - t.start)").alias("token"))
-    scored = token.select(encoding(F.col("token")).alias("e"), length_class(F.col("token")).alias("c"), p_value(F.col("token")).alias("p"), F.md5(F.col("token").cast("binary")).alias("digest"))
+    """docs: doc_id, text. Returns doc_id, base (start, kind, end), and tokens (also e, c, p, digest): those that overlap no base span."""
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select("doc_id", text.alias("text")).select("doc_id", base_spans(F.col("text")).alias("base"), spans_of(F.col("text"), TOKEN, len(BASE), with_token=True).alias("every"))
+    free = F.when((F.size("every") > 0) & (F.size("base") > 0), apart(F.col("every"), F.col("base"))).otherwise(F.col("every"))
+
+    def told(t: Column) -> Column:
+        token = t["token"]
+        return F.struct(t["start"], t["kind"], t["end"], encoding(token).alias("e"), length_class(token).alias("c"), p_value(token).alias("p"), F.md5(token.cast("binary")).alias("digest"))
+
+    return found.select("doc_id", "base", free.alias("tokens")).select("doc_id", "base", F.transform("tokens", told).alias("tokens"))
+
+
+def cuts(rows: DataFrame, max_false: float = MAX_FALSE) -> dict[tuple[int, int], float]:
+    """rows: of with_spans(). The least p-value of each encoding and length class that counts as random; classes that report nothing are left out."""
+    scored = rows.select(F.explode("tokens").alias("t")).select("t.e", "t.c", "t.p", "t.digest")
     p, decade = F.col("p"), F.lit(DECADES - 1)
     for i in reversed(range(DECADES - 1)):
         decade = F.when(p >= 0.1 ** (i + 1), F.lit(i)).otherwise(decade)
@@ -192,18 +240,12 @@ def _cut(bins: list[int], decades: list[int], max_false: float) -> float | None:
 
 def scan(docs: DataFrame, max_false: float = MAX_FALSE) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans."""
-    found = cuts(docs, max_false)
-    rows = with_spans(docs)
-
+    rows = stored(with_spans(docs), "secret-tokens")
+    found = cuts(rows, max_false)
     classes = len(LENGTHS) + 1
     levels = F.array(*(F.lit(found.get((e, c), 2.0)) for e in range(3) for c in range(classes)))
-
-    def is_random(t: Column) -> Column:
-        token = F.substring(F.col("text"), t["start"] + 1, t["end"] - t["start"])
-        return bound(token, lambda x: p_value(x) >= F.get(levels, encoding(x) * classes + length_class(x)))
-
-    random = F.when(F.size("tokens") > 0, F.filter("tokens", is_random)).otherwise(F.array().cast(_SPAN))
-    rows = rows.withColumn("random", random)
+    random = F.filter("tokens", lambda t: t["p"] >= F.get(levels, t["e"] * classes + t["c"]))
+    rows = rows.withColumn("random", F.transform(random, lambda t: F.struct(t["start"], t["kind"], t["end"])).cast(_SPAN))
     names = F.array(*map(F.lit, KINDS))
     said = lambda spans: F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
