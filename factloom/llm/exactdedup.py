@@ -5,12 +5,14 @@
 2. Each owner decodes its chunks and answers each with a bitmap: bit i says whether the i-th fingerprint of the chunk was
    also sent by another chunk. Repeats inside a chunk are known to the chunk itself.
 3. Suspects are rows whose bit is set or that repeat inside their chunk. Their texts are shuffled by digest, after
-   each task has compared and dropped its own repeats, and compared byte by byte; the digest never decides alone.
+   each task has compared and dropped its own repeats, and compared byte by byte; the digest never decides alone. Where
+   the suspects' ids are too many to broadcast, a filter of them keeps all other texts out of the shuffle.
 4. Of equal texts, the row with the most code points in the original stays, then the smallest doc_id (null last), then
    the first row.
 
-Defined cases: null counts as empty; empty texts equal one another; rows repeated with the same doc_id are a group like
-any other (one row is marked kept); other columns are not read; no rows in, no rows out.
+Defined cases: null counts as empty; empty texts equal one another; a very long text is hashed and compared whole; rows
+repeated with the same doc_id are a group like any other (one row is marked kept; ties of length and doc_id go to the row
+read first); other columns are not read; no rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, BROADCAST_BYTES, by_keys, read_table, stored, text_list
+from .common import ASCII_SPACE, BROADCAST_BYTES, by_key, by_keys, keyed, read_table, stored, text_list
 
 #: Fingerprints of one owner, about, so that its task is bounded; and rows of a chunk.
 OWNER_ROWS, CHUNK_ROWS = 1 << 21, 1 << 13
@@ -168,18 +170,12 @@ def exact_groups(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Dat
     suspects = stored(marked.where(F.col("repeats") | bit).select("row", "doc_id", "n_chars", "sha"), "suspects")
 
     # Byte verification of the suspects' texts.
-    n = suspects.count()
-    ids = suspects.select(F.col("doc_id").alias("_suspect")).distinct()
-    if n * 16 <= broadcast_bytes:
-        ids = F.broadcast(ids)
-    texts = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("_suspect")), "left_semi").select("text")
+    texts = by_key(rows, F.col("doc_id"), stored(suspects.select("doc_id").distinct(), "suspect-ids"), "left_semi", broadcast_bytes).select("text")
     met = texts.mapInArrow(_compare(False), "sha binary, normal binary").repartition("sha").mapInArrow(_compare(True), "sha binary, normal binary").select("sha")
 
-    order = F.struct(F.col("n_chars"), F.coalesce(-F.col("doc_id").cast("long"), F.lit(-(1 << 63))), -F.col("row"))
-    groups = suspects.groupBy("sha").agg(F.max(order).alias("best"), F.count("*").alias("group_size")).where("group_size > 1")
-    verified = groups.join(met, "sha", "left_semi").select("sha", (-F.col("best.col3")).alias("keep_row"), "group_size")
-    ids = suspects.select(F.col("row").alias("keep_row"), F.col("doc_id").alias("keep_id"))
-    verified = stored(verified.join(ids, "keep_row"), "exact-groups")
+    order = F.struct((-F.col("n_chars")).alias("shorter"), F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"))
+    groups = suspects.groupBy("sha").agg(F.min(order).alias("best"), F.count("*").alias("group_size")).where("group_size > 1")
+    verified = stored(groups.join(met, "sha", "left_semi").select("sha", "best.keep_row", "best.keep_id", "group_size"), "exact-groups")
     out = narrow.join(verified, "sha", "left")
     return out.select(
         "doc_id",
@@ -190,20 +186,17 @@ def exact_groups(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Dat
     )
 
 
-def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, all columns: one of each group. Rows are told by doc_id and the digest of the normalised text."""
-    gone = exact_groups(docs).where("not kept").select("doc_id", F.unhex("text_sha256").alias("digest"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("own")).distinct()
-    spaces = ASCII_SPACE.decode()
-    digest = F.unhex(F.sha2(F.translate(F.coalesce("text", F.lit("")), spaces, "").cast("binary"), 256))
-    # A dropped row with its keeper's own doc_id: of the rows of this doc_id and text, but for white space, the longest stays.
-    out = by_keys(docs, gone.where(~F.col("own")).select("doc_id", "digest"), "left_anti", digest)
+def drop_exact_duplicates(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of docs that stay, all columns: one of each group; ties of length go to the smallest doc_id (null last), then text digest."""
+    found = exact_groups(keyed(docs), broadcast_bytes).where("not kept")
+    gone = stored(found.select("doc_id.doc_id", "doc_id.digest", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("own")).distinct(), "gone")
+    out = by_keys(docs, gone.where("not own").select("doc_id", "digest"), "left_anti", broadcast_bytes)
     repeated = gone.where("own").select("doc_id", "digest")
-    longest = F.row_number().over(Window.partitionBy("doc_id", digest).orderBy(F.length("text").desc(), F.col("text")))
-    place = "_place"
-    while place in {c.lower() for c in docs.columns}:
-        place += "_"
-    first = by_keys(out, repeated, "left_semi", digest).withColumn(place, longest).where(F.col(place) == 1).drop(place)
-    return by_keys(out, repeated, "left_anti", digest).unionByName(first)
+    if not repeated.limit(1).count():
+        return out
+    # Rows that repeat the doc_id and the text of the one that stays.
+    first = by_keys(out, repeated, "left_semi", broadcast_bytes).dropDuplicates(["doc_id", "text"])
+    return by_keys(out, repeated, "left_anti", broadcast_bytes).unionByName(first)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, by_keys, keyed, read_table, stored, text_list
+from .common import BROADCAST_BYTES, by_keys, key_filter, keyed, read_table, stored, text_list
 from .components import connected_components
 
 BANDS, ROWS = 40, 4
@@ -197,8 +197,11 @@ def _sets(k: int):
 def full_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """id, set of the classes in ids (distinct), made anew from the text of one document of each class."""
     wanted = stored(classes.join(ids, "id").select("id", "digest", F.col("first_doc").alias("_doc")), "wanted")
-    if wanted.count() * 64 <= BROADCAST_BYTES:
+    n = wanted.count()
+    if n * 64 <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
+    elif among := key_filter(wanted.select("_doc"), n):  # other texts are not shuffled
+        docs = docs.where(among(F.col("doc_id")))
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("id", "digest", "text")
     return texts.mapInArrow(_sets(k), "id long, set binary")
 
