@@ -180,7 +180,7 @@ def predict(docs: DataFrame, model: LanguageFilters) -> DataFrame:
 
     rows = docs.select("doc_id", "text")
     out = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, lang_pred string, score double")
-    return out.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(~in_training(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

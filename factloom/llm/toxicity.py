@@ -3,19 +3,21 @@
 Examples: of the labelled training rows, for each class the per_class rows with the smallest hash of doc_id (a documented bound
 on what is fitted). Terms: the words of a text and their beginnings of 4 to 6 letters; the vocabulary is the n_terms terms that
 tell the classes apart best (chi-squared over the examples), plus one term that counts the words with no term in the
-vocabulary, so that density matters. Weights: (1 + ln tf) * idf, in vectors of length 1.
+vocabulary, so that density matters. Weights: (1 + ln tf) * idf, in vectors of length 1. The vocabulary is part of what is
+fitted: with every term of the examples in it, topics outweigh toxic words (README has the figures).
 
-Index: posting lists by term over the examples, cut into blocks of BLOCK examples, with the largest weight of each term in
-each block. A query's upper bound for a block is the sum of its weights times those; blocks are scored exactly in falling
-order of bounds until no bound exceeds the k-th best cosine, so the k nearest are exact.
+Index: a posting list (examples and weights) for each term, cut where blocks of BLOCK examples end, with the largest weight
+of each block that the list meets. A query's upper bound for a block is the sum of its weights times those. The blocks of
+the highest bounds are scored first; of the others those whose bound reaches the k-th best cosine so far, and the rest
+are skipped, so the k nearest are exact. Texts of equal vectors are one query.
 
 Score: votes weighted by 1 / (DISTANCE + 1 - cosine), turned into a probability by a logistic curve fitted on the examples,
 each against the others, with classes weighted as in all training rows. Evidence: the doc_ids of the nearest examples.
 
-Defined cases: null and wordless texts have the empty vector, whose cosine with any other is 0 and with an empty one 1;
-equal cosines go by the examples' order; labels that repeat for a document count as toxic if one is; null labels are no
-labels; without examples every score is 0; without toxic or without clean examples it is the share of toxic ones;
-repeated rows return repeated rows; other columns are not read; no rows in, no rows out.
+Defined cases: null and wordless texts have the empty vector, whose cosine with any other is 0 and with an empty one 1; a
+very long text is read whole, as counts of its words; equal cosines go by the examples' order; labels that repeat for a document count as toxic if one is; null labels are no
+labels; without examples every score is 0; without toxic or without clean examples it is the share of toxic ones; a null
+doc_id is not held out, and not learnt from; repeated rows return repeated rows; other columns are not read; no rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -77,22 +79,37 @@ class BlockMaxIndex:
 
     def __init__(self, counts: list[dict[int, int]], n_terms: int):
         n = len(counts)
-        df = Counter(t for c in counts for t in c)
-        self.idf = np.array([np.log((1 + n) / (1 + df[t])) + 1 for t in range(n_terms)], np.float32)
+        df = np.bincount([t for c in counts for t in c], minlength=n_terms)
+        self.idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
         self.n, self.blocks = n, -(-n // BLOCK)
-        #: postings[t] are the weights of term t in all examples, block after block.
-        self.postings = np.zeros((n_terms, self.blocks * BLOCK), np.float32)
-        for i, c in enumerate(counts):
-            terms, weights = self.vector(c)
-            self.postings[terms, i] = weights
-        self.maxima = self.postings.reshape(n_terms, self.blocks, BLOCK).max(2)
-        self.empty = np.flatnonzero(~self.postings.any(0)[:n])
+        vectors = [self.vector(c) for c in counts]
+        terms = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
+        ids = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
+        order = np.lexsort((ids, terms))
+        #: Posting lists one after another; those of term t begin at starts[t].
+        self.ids, self.weights = ids[order], np.concatenate([np.zeros(0, np.float32), *(w for _, w in vectors)])[order]
+        self.starts = np.searchsorted(terms[order], np.arange(n_terms + 1))
+        #: The blocks that each list meets, with the list's largest weight there, likewise.
+        cells = terms[order] * max(1, self.blocks) + self.ids // BLOCK
+        first = np.flatnonzero(np.diff(cells, prepend=-1))
+        self.block_ids, self.maxima = self.ids[first] // BLOCK, np.maximum.reduceat(self.weights, first) if len(first) else self.weights
+        self.block_starts = np.searchsorted(terms[order][first], np.arange(n_terms + 1))
+        self.empty = np.array([i for i, (t, _) in enumerate(vectors) if not len(t)], np.int64)
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.fromiter(counts.keys(), np.int64, len(counts))
         weights = (1 + np.log(np.fromiter(counts.values(), np.float32, len(counts)))) * self.idf[terms]
         return terms, weights / np.sqrt((weights * weights).sum()) if len(terms) else weights
 
+    def cosines(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """With every example of the marked blocks; 0 elsewhere."""
+        out = np.zeros(self.n)
+        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
+            ids = self.ids[self.starts[t] : self.starts[t + 1]]
+            met = blocks[ids // BLOCK]
+            out[ids[met]] += w * self.weights[self.starts[t] : self.starts[t + 1]][met]  # an example is in a list once
+        return out
+
     def nearest(self, counts: dict[int, int], k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples; ties go to the smaller number."""
         terms, weights = self.vector(counts)
@@ -101,28 +118,33 @@ class BlockMaxIndex:
             rest = np.setdiff1d(np.arange(self.n), np.append(self.empty, leave_out))
             ids = np.concatenate([at, rest])[:k]
             return ids, np.where(np.isin(ids, at), 1.0, 0.0)
-        bounds = weights @ self.maxima[terms]
-        order = np.argsort(-bounds, kind="stable")
-        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.float32)
-        for b in order.tolist():
-            if len(ids) >= k and bounds[b] + 1e-5 < scores[-1]:
-                break
-            new = np.arange(b * BLOCK, min((b + 1) * BLOCK, self.n))
-            got = weights @ self.postings[terms, b * BLOCK : b * BLOCK + len(new)]
-            keep = new != leave_out
-            if len(ids) >= k:
-                keep &= got >= scores[-1]
-            if keep.any():
-                ids, scores = np.concatenate([ids, new[keep]]), np.concatenate([scores, got[keep]])
-                best = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[best], scores[best]
-        return ids, scores
+        bounds = np.zeros(self.blocks)
+        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
+            bounds[self.block_ids[self.block_starts[t] : self.block_starts[t + 1]]] += w * self.maxima[self.block_starts[t] : self.block_starts[t + 1]]
+        first = np.zeros(self.blocks, bool)
+        first[np.argsort(-bounds, kind="stable")[: -(-(k + 1) // BLOCK) + 1]] = True
+        scores = self.cosines(terms, weights, first)
+        known = np.repeat(first, BLOCK)[: self.n]
+        if leave_out >= 0:
+            known[leave_out] = False
+        reached = np.sort(scores[known])[-k:]
+        least = reached[0] if len(reached) == k else 0.0
+        open_ = ~first & (bounds + 1e-5 >= least)
+        if open_.any():
+            scores += self.cosines(terms, weights, open_)
+        known |= np.repeat(open_, BLOCK)[: self.n]
+        if leave_out >= 0:
+            known[leave_out] = False
+        ids = np.flatnonzero(known)
+        ids = ids[np.lexsort((ids, -scores[ids]))[:k]]
+        return ids, scores[ids]
 
 
 class Model:
     def __init__(self, vocabulary: list[str], examples: list[tuple[int, int, dict[int, int]]], toxic_rows: int, clean_rows: int, k: int):
         examples.sort(key=lambda e: (e[1], max(e[2], key=lambda t: (t != len(vocabulary), e[2][t], -t), default=-1), e[0]))  # alike in one block
         self.vectors, self.k = Vectors(vocabulary), k
+        self.known: dict[tuple, tuple[float, list[int]]] = {}
         self.doc_ids = np.array([e[0] for e in examples], np.int64)
         self.labels = np.array([e[1] for e in examples], np.float64)
         self.prior = toxic_rows / max(1, toxic_rows + clean_rows)
@@ -140,9 +162,15 @@ class Model:
     def score(self, text: str) -> tuple[float, list[int]]:
         if self.curve is None:
             return float(self.prior), []
-        ids, cosines = self.index.nearest(self.vectors.counts(text), self.k)
-        a, b = self.curve
-        return float(1 / (1 + np.exp(-(a * self.vote(ids, cosines) + b)))), self.doc_ids[ids[:EVIDENCE]].tolist()
+        counts = self.vectors.counts(text)
+        key = tuple(sorted(counts.items())) if len(counts) > 1 else tuple(counts)  # a vector of one term has length 1 whatever its count
+        if key not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            ids, cosines = self.index.nearest(counts, self.k)
+            a, b = self.curve
+            self.known[key] = float(1 / (1 + np.exp(-(a * self.vote(ids, cosines) + b)))), self.doc_ids[ids[:EVIDENCE]].tolist()
+        return self.known[key]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
@@ -199,7 +227,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     rows = docs.select("doc_id", "text")
     out = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double, evidence array<long>")
-    return out.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+    return out.select("doc_id", F.coalesce(~in_training(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

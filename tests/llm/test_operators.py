@@ -2,12 +2,14 @@
 
 import hashlib
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, components, decontam, exactdedup, langid, linededup, mixing, neardedup, secrets, tokens, toxicity
+from factloom.llm import chat, common, components, decontam, exactdedup, langid, linededup, mixing, neardedup, secrets, tokens, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, key string, bucket string, row string, id string, _gone string, size string"
 
@@ -156,6 +158,48 @@ def test_random_tokens_are_told_among_a_hundred_times_as_many_natural_ones(spark
     assert found[0] == found[5000]
 
 
+def test_randomness_battery_against_numpy(spark):
+    r = np.random.default_rng(12)
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    rows = [(e, "".join(r.choice(list(alphabets[e]), n))) for e in range(3) for n in (20, 33, 64, 500)] + [(2, "the_quick-brown/fox+jumps_over"), (2, "aaaaaaaaaaaaaaaaaaaaaaaaz"), (0, "0" * 40)]
+    got = spark.createDataFrame(rows, "e int, t string").select("e", "t", secrets.encoding(F.col("t")).alias("seen"), secrets.p_value(F.col("t")).alias("p")).collect()
+    for row in got:
+        if row.seen != row.e:
+            continue  # short draws may lack what tells their alphabet
+        k, cells = len(alphabets[row.e]), 16 if row.e == 0 else 8
+        x = np.array([alphabets[row.e].index(c) for c in row.t.replace("-", "+").replace("_", "/")], float)
+        n = len(x)
+        chi = ((np.bincount((x * cells // k).astype(int), minlength=cells) - n / cells) ** 2 / (n / cells)).sum()
+        spread = 2 / (9 * (cells - 1))
+        z1 = max(0.0, (np.cbrt(chi / (cells - 1)) - (1 - spread)) / np.sqrt(spread))
+        high = x >= k / 2
+        mean = 2 * high.sum() * (n - high.sum()) / n + 1
+        var = (mean - 1) * (mean - 2) / (n - 1)
+        z2 = (1 + (high[1:] != high[:-1]).sum() - mean) / np.sqrt(var) if var > 0 else 0.0
+        d = x - x.mean()
+        z3 = ((d[1:] * d[:-1]).sum() / (d * d).sum() + 1 / n) * np.sqrt(n) if (d * d).sum() else np.sqrt(n)
+        v = (np.cbrt((z1 * z1 + z2 * z2 + z3 * z3) / 3) - (1 - 2 / 27)) / np.sqrt(2 / 27)
+        assert abs(row.p - 1 / (1 + np.exp(1.5976 * v + 0.07056 * v**3))) < 1e-6, row
+
+
+def test_a_text_of_very_many_spans(spark):
+    """20,000 keys in one text, every third inside an assignment; and spans at a text's edges."""
+    r = np.random.default_rng(13)
+    parts = [("token=" if i % 3 == 0 else "") + "".join(r.choice(list("ABCDEFGHabcdefgh0123456789+/"), 30)) + ("é" if i % 7 == 0 else "") for i in range(20_000)]
+    text = "\U0001f600 ".join(parts)
+    row = secrets.scan(docs_of(spark, [text])).collect()[0]
+    spans = [(m.start(), m.end()) for m in re.finditer(secrets.ASSIGN, text)]
+    assert row.n_assign == len(spans) and row.spans.startswith(f"assign:{spans[0][0]}:{spans[0][1]}")
+    tokens = secrets.with_spans(docs_of(spark, [text, "x" * 25 + " token=" + "y" * 25, "token=" + "y" * 25 + "=" + "z" * 30])).select("doc_id", F.transform("tokens", lambda t: t["start"]).alias("at")).collect()
+    inside = {i for a, b in spans for i in range(a, b)}
+    assert tokens[0]["at"] == [m.start() for m in re.finditer(secrets.TOKEN, text) if m.start() not in inside and m.end() - 1 not in inside]
+    assert [t["at"] for t in tokens[1:]] == [[0], []]
+
+
+def test_few_random_tokens_among_very_many_natural_ones():
+    assert secrets._cut([100_000, 0, 1, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 1, 0, 0, 0, 1, 0], [5, 0, 0, 100_000], secrets.MAX_FALSE) is not None
+
+
 def test_natural_tail_is_not_taken_for_random():
     tail = [5600, 8, 5, 4, 3, 2, 2, 2, 1, 1, 1, 1, 1, 0, 1, 0, 0, 0, 0, 0]  # natural tokens alone, thinning out
     assert secrets._cut(tail, [24, 70, 240, 5298], secrets.MAX_FALSE) is None
@@ -290,6 +334,18 @@ def test_exact_groups_keep_the_longest_then_the_smallest(spark):
     assert sorted(r.doc_id for r in exactdedup.exact_groups(d, broadcast_bytes=0).where("kept").collect()) == [2, 3, 5, 7]
 
 
+def test_texts_that_nothing_asks_for_are_not_shuffled(spark):
+    """With nothing broadcast, a filter of the wanted ids stands before the shuffle."""
+    d = docs_of(spark, [prose(i, 30) for i in range(400)] + ["twice said"] * 2 + [None])
+    ids = common.stored(spark.createDataFrame([(i,) for i in (3, 400, None, 999)], "doc_id long"), "ids")
+    among = common.key_filter(ids, 4)
+    held = {r.doc_id for r in d.where(among(F.col("doc_id"))).select("doc_id").collect()}
+    assert {3, 400} <= held and len(held) < 12
+    for how, want in (("left_semi", 2), ("left_anti", 401)):
+        assert common.by_key(d, F.col("doc_id"), ids, how, 0).count() == want
+    assert len(exactdedup.drop_exact_duplicates(d, 0).collect()) == 402
+
+
 # Mixing
 
 
@@ -401,12 +457,39 @@ def test_toxicity_learns_and_index_is_exact(spark):
     got = by_id(toxicity.score(d, model))
     assert np.mean([got[i].predicted == y for i, y in labels]) > 0.99 and any(x.held_out for x in got.values())
     assert all(0 <= x.score <= 1 and len(x.evidence) == 3 for x in got.values())
-    index = model.index
-    dense = index.postings[:, : index.n]
-    for _, text in rows[:20]:
-        terms, weights = index.vector(model.vectors.counts(text))
-        want = np.sort(weights @ dense[terms])[::-1][: model.k]
-        assert np.allclose(index.nearest(model.vectors.counts(text), model.k)[1], want, atol=1e-5)
+    # Against TF-IDF cosines made from the texts.
+    vocabulary, known = list(model.vectors.number), {i: t for i, t in rows if zlib.crc32(str(i).encode()) % 5}
+    tf = {}
+    for i, text in known.items():
+        tf[i] = Counter()
+        for w in re.findall(r"\w+", text.lower()):
+            mine = [t for t in [w, *(f"^{w[:n]}" for n in (4, 5, 6) if len(w) > n)] if t in vocabulary]
+            tf[i].update(mine or ["(other)"])
+    idf = {t: np.log((1 + len(tf)) / (1 + sum(t in c for c in tf.values()))) + 1 for t in [*vocabulary, "(other)"]}
+    unit = {}
+    for i, c in tf.items():
+        v = {t: (1 + np.log(n)) * idf[t] for t, n in c.items()}
+        unit[i] = {t: x / np.sqrt(sum(y * y for y in v.values())) for t, x in v.items()}
+    for i in list(known)[:25]:
+        want = sorted((sum(x * unit[j].get(t, 0.0) for t, x in unit[i].items()) for j in known), reverse=True)[: model.k]
+        ids, cosines = model.index.nearest(model.vectors.counts(known[i]), model.k)
+        assert np.allclose(cosines, want, atol=1e-5) and i in model.doc_ids[ids[cosines > 1 - 1e-6]]
+
+
+def test_blocks_are_skipped_and_nothing_is_lost():
+    r = np.random.default_rng(6)
+    counts = [{int(15 * (i // 100) + t): int(n) for t, n in zip(r.choice(20, 6, replace=False), r.integers(1, 9, 6), strict=True)} for i in range(2000)] + [{}]
+    index, scored = toxicity.BlockMaxIndex(counts, 320), []
+    plain = index.cosines
+    index.cosines = lambda t, w, blocks: scored.append(int(blocks.sum())) or plain(t, w, blocks)
+    for i in range(0, 2000, 40):
+        terms, weights = index.vector(counts[i])
+        every = plain(terms, weights, np.ones(index.blocks, bool))
+        every[i] = -1
+        ids, cosines = index.nearest(counts[i], 25, i)
+        want = np.lexsort((np.arange(len(every)), -every))[:25]
+        assert np.allclose(cosines, every[want], atol=1e-6) and i not in ids
+    assert sum(scored) < 0.5 * index.blocks * 50
 
 
 def test_toxicity_without_both_classes(spark):
