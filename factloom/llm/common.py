@@ -18,11 +18,21 @@ ASCII_SPACE = b" \t\n\x0b\x0c\r"
 BROADCAST_BYTES = 64 << 20
 #: Bits of a filter of row keys, at most (64 MB), and of a segment of it, which one task builds; looks for each key.
 FILTER_BITS, SEGMENT_BITS = 1 << 29, 1 << 20
+#: Rows and bytes of a batch for a Python worker, where the session does not set them.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 _LOOKS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepared(spark: SparkSession) -> None:
+    """Ships the package, and bounds the batches that Python workers get, since texts may be long; sizes set by the user stay."""
     ship(spark)
+    for name, most in BATCH.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, most)
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepared(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,7 +53,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def stored(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    ship(df.sparkSession)
+    prepared(df.sparkSession)
     path = scratch_path(df.sparkSession, label)
     writer = df.write
     if partition_by:

@@ -63,7 +63,7 @@ class Vectors:
     def counts(self, text: str) -> dict[int, int]:
         out: Counter[int] = Counter()
         known, get = self.known, self.number.get
-        if len(known) > 200_000:
+        if len(known) > 50_000:
             known.clear()
         for word, n in Counter(_WORD.findall(text.lower())).items():
             terms = known.get(word)
@@ -165,7 +165,7 @@ class Model:
         counts = self.vectors.counts(text)
         key = tuple(sorted(counts.items())) if len(counts) > 1 else tuple(counts)  # a vector of one term has length 1 whatever its count
         if key not in self.known:
-            if len(self.known) > 100_000:
+            if len(self.known) > 10_000:
                 self.known.clear()
             ids, cosines = self.index.nearest(counts, self.k)
             a, b = self.curve
