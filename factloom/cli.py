@@ -1,8 +1,12 @@
-"""Command line: ``python -m factloom.cli transform --ats FILE --resume FILE --config FILE [--output FILE]``."""
+"""Command line: ``python -m factloom.cli transform --ats FILE --resume FILE --config FILE [--output FILE] [--pdf-parser MODULE:FUNCTION]``.
+
+A resume may be text, or a PDF if a parser is named: a function from bytes to text.
+"""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 from datetime import UTC, datetime
@@ -21,7 +25,7 @@ def main(argv: list[str] | None = None) -> int:
     """0 if an output was made, else 1; warnings and errors go to stderr."""
     parser = argparse.ArgumentParser(prog="factloom")
     transform = parser.add_subparsers(dest="command").add_parser("transform", help="fuse one candidate's sources into a projected profile")
-    for name in (*REQUIRED, "output"):
+    for name in (*REQUIRED, "output", "pdf-parser"):
         transform.add_argument(f"--{name}", default="")
     args = parser.parse_args(argv)
     if args.command != "transform":
@@ -41,15 +45,31 @@ def main(argv: list[str] | None = None) -> int:
     if issues := config_issues(config):
         print(f"error: PIPELINE_CONFIG_INVALID {issues}", file=sys.stderr)
         return 1
+    try:
+        return _transform(args, config)
+    except Exception as e:  # whatever a stage or the cluster raises becomes one line and a status
+        print(f"error: CLI_TRANSFORM_FAILED {type(e).__name__}: {e}", file=sys.stderr)
+        return 1
+
+
+def _transform(args: argparse.Namespace, config) -> int:
     spark = SparkSession.builder.getOrCreate()
     now, key = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.000Z"), F.lit("candidate")
-    read_resume = records.read_resumes(spark, args.resume.strip(), now, key)
-    run = pipeline.run(records.read_structured(spark, args.ats.strip(), now, key).unionByName(read_resume), config)
-    for e in run.errors.collect():
+    resume = args.resume.strip()
+    if args.pdf_parser.strip():
+        module, _, function = args.pdf_parser.strip().partition(":")
+        resumes = records.read_pdf_resumes(spark, resume, now, getattr(importlib.import_module(module), function), key)
+    else:
+        resumes = records.read_resumes(spark, resume, now, key)
+    run = pipeline.run(records.read_structured(spark, args.ats.strip(), now, key).unionByName(resumes), config)
+    errors = run.errors.collect()  # of one candidate
+    for e in errors:
         print(f"error: {e.code} {e.message}", file=sys.stderr)
     rows = run.outputs.collect()  # one candidate
     if not rows:
         return 1
+    if errors:
+        print("warning: the output lacks the sources named above", file=sys.stderr)
     text = json.dumps(json.loads(rows[0].output), indent=2, ensure_ascii=False)
     if args.output.strip():
         with open(args.output.strip(), "w", encoding="utf-8") as f:

@@ -67,6 +67,8 @@ CALLING_CODES = {
     "63": (8, 10), "64": (8, 10), "65": (8, 8), "66": (8, 9), "7": (10, 10), "81": (9, 10), "82": (8, 10), "84": (9, 10), "86": (10, 11), "90": (10, 10), "91": (10, 10), "92": (9, 10), "94": (9, 9), "98": (10, 10),
     "212": (9, 9), "234": (8, 10), "254": (9, 9), "351": (9, 9), "353": (7, 9), "358": (5, 12), "380": (9, 9), "420": (9, 9), "852": (8, 8), "880": (8, 10), "886": (8, 9), "966": (8, 9), "971": (8, 9), "972": (8, 9),
 }
+#: First two digits of the calling codes of three digits (numbering zones); codes of these that have no row above take 5 to 12 digits.
+ZONES = ("21", "22", "23", "24", "25", "26", "29", "35", "37", "38", "42", "50", "59", "67", "68", "69", "80", "85", "87", "88", "96", "97", "99")
 REGION_CODES = {"US": "1", "CA": "1", "GB": "44", "IN": "91", "AU": "61", "DE": "49", "FR": "33", "ES": "34", "IT": "39", "NL": "31", "CH": "41", "SG": "65", "JP": "81", "CN": "86", "BR": "55", "MX": "52", "AE": "971", "KR": "82"}
 
 
@@ -79,7 +81,8 @@ def lookup(table: Mapping[str, str], key: Column) -> Column:
 def phone(text: Column, default_region: str | None = None, codes: Mapping[str, tuple[int, int]] = CALLING_CODES) -> Column:
     """E.164, or null. A number without + needs a default region; a trunk 0 is dropped there."""
     shapes = (code + (r"[2-9][0-9]{2}[2-9][0-9]{6}" if code == "1" else rf"[1-9][0-9]{{{least - 1},{most - 1}}}") for code, (least, most) in codes.items())
-    valid = "|".join(shapes)
+    other = rf"(?!{'|'.join(c for c in codes if len(c) == 3) or 'x'})(?:{'|'.join(ZONES)})[0-9][1-9][0-9]{{4,11}}"
+    valid = "|".join((*shapes, other))
 
     def full(t: Column) -> Column:
         shaped = matches(t, r"\+?[0-9(][0-9()\s./-]*")
@@ -183,6 +186,7 @@ def by_target(target: Column, value: Column, default_region: str | None = None,
     )
 
 
-#: Spellings of the directives of a projection, lower case.
+# Spellings of the directives of a projection, lower case.
 DIRECTIVES = {"e164": "E164", "yyyy-mm": "YYYY-MM", "iso-3166-alpha-2": "ISO-3166-alpha-2", "iso3166alpha2": "ISO-3166-alpha-2", "canonical": "canonical"}
+# End of fixed values.
 BY_DIRECTIVE = {"E164": phone, "YYYY-MM": employment_date, "ISO-3166-alpha-2": country, "canonical": skill}

@@ -40,8 +40,8 @@ def utf16_length(text: Column) -> Column:
 
 def distinct_ignoring_case(texts: Column) -> Column:
     """First spellings, in order."""
-    keys = F.transform(texts, F.lower)
-    return F.filter(texts, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+    first = lambda t, keys: F.filter(t, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+    return bound(texts, lambda t: bound(F.transform(t, F.lower), lambda keys: first(t, keys)))
 
 
 def clamp01(x: Column) -> Column:

@@ -6,10 +6,16 @@ numbered in the order they are found; collected facts are numbered through for e
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import NO_TEXTS, WS, collapsed, distinct_ignoring_case, matches, non_empty, trimmed, utf16_length
+from ..functions.normalize import SKILLS as SKILL_NAMES
+from ..functions.normalize import by_target, target_of
+from ..functions.text import NO_TEXTS, WS, bound, collapsed, distinct_ignoring_case, matches, non_empty, trimmed, utf16_length
+from ..shared import settled
+from ..sources.records import error
 
 FACT_COLUMNS = (
     "candidate_key", "fact_id", "field_path", "source_kind", "source_id", "extraction_method", "original_value", "value", "value_kind", "confidence",
@@ -35,6 +41,7 @@ MAPPING = [
     ("experience[0].title", ["title"]),
 ]
 BASE_CONFIDENCE = {"ats_json": 0.6, "resume_pdf": 0.45}
+EXTRACTION_FAILED = {"ats_json": "ATS_EXTRACTION_FAILED", "resume_pdf": "RESUME_EXTRACTION_FAILED"}
 METHOD = {"ats_json": "structured_field_map", "resume_pdf": "regex_match"}
 # End of fixed values.
 
@@ -69,17 +76,23 @@ def phones_of(text: Column) -> Column:
 
 def section(lines: Column, names: list[str]) -> Column:
     """The lines after the first one that is a heading of these names, up to the next heading of any section."""
-    heading = F.transform(lines, F.lower)
-    start = F.array_position(F.transform(heading, lambda x: x.isin(names)), F.lit(True))
-    stop = F.transform(heading, lambda x, i: x.isin(EXPERIENCE + EDUCATION + SKILLS + OTHER_SECTIONS) & (i + 1 > start))
-    end = F.array_position(stop, F.lit(True))
-    size = F.when(end > 0, end - start - 1).otherwise(F.size(lines) - start)
-    return F.when(start > 0, F.slice(lines, start.cast("int") + 1, size.cast("int"))).otherwise(F.array().cast(NO_TEXTS))
+    none = F.array().cast(NO_TEXTS)
+
+    def after(x: Column, start: Column) -> Column:
+        first = start.cast("int") + 1
+        stops = F.transform(F.slice(x["headings"], first, F.size(x["headings"])), lambda h: h.isin(EXPERIENCE + EDUCATION + SKILLS + OTHER_SECTIONS))
+        size = bound(F.array_position(stops, F.lit(True)).cast("int"), lambda end: F.when(end > 0, end - 1).otherwise(F.size(x["lines"])))
+        return F.when(start > 0, F.slice(x["lines"], first, size)).otherwise(none)
+
+    def found(x: Column) -> Column:
+        return bound(F.array_position(F.transform(x["headings"], lambda h: h.isin(names)), F.lit(True)), lambda start: after(x, start))
+
+    return bound(lines, lambda own: bound(F.struct(own.alias("lines"), F.transform(own, F.lower).alias("headings")), found))
 
 
 def blocks_of(lines: Column) -> Column:
     """A section's blocks: since empty lines are gone, one block if there is any line."""
-    return F.when(F.size(lines) > 0, F.array(F.array_join(lines, "\n"))).otherwise(F.array().cast(NO_TEXTS))
+    return bound(lines, lambda own: F.when(F.size(own) > 0, F.array(F.array_join(own, "\n"))).otherwise(F.array().cast(NO_TEXTS)))
 
 
 def experience_of(lines: Column) -> Column:
@@ -121,6 +134,15 @@ def _facts(rows: DataFrame, kind: str) -> DataFrame:
     )
 
 
+def checked_payloads(rows: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Parsed rows that the extractor of this kind can take, and error rows of the others: another kind, or a source that is not described."""
+    c = lambda ok: F.coalesce(ok, F.lit(False))
+    described = c(F.col("source_id") != "") & c(F.col("ingested_at") != "") & F.col("source_order").isNotNull()
+    why = F.when(~c(F.col("source_kind") == kind), F.lit(f"{kind}: unsupported source kind")).when(~described, F.lit(f"{kind}: source_id, ingested_at and source_order are required"))
+    errors = rows.where(why.isNotNull()).select(*error("extract_candidate_facts", EXTRACTION_FAILED[kind], why))
+    return rows.where(why.isNull()), errors
+
+
 def structured_facts(parsed: DataFrame) -> DataFrame:
     """One fact for each mapped field with a value; the first source field that is not empty wins."""
 
@@ -135,7 +157,7 @@ def structured_facts(parsed: DataFrame) -> DataFrame:
 
 def resume_facts(resumes: DataFrame) -> DataFrame:
     """Facts of resume texts: name, emails, phones, experience, education, skills, in this order."""
-    rows = resumes.withColumn("_lines", lines_of(F.col("text")))
+    rows = settled(resumes.withColumn("_lines", lines_of(F.col("text"))))
     lists = [
         (F.array_compact(F.array(name_of(F.col("_lines")))), lambda i: F.lit("full_name"), "regex full-name line"),
         (emails_of(F.col("text")), lambda i: F.lit("emails[]"), "regex email"),
@@ -144,7 +166,7 @@ def resume_facts(resumes: DataFrame) -> DataFrame:
         (institutions_of(F.col("_lines")), lambda i: F.concat(F.lit("education["), i, F.lit("].institution")), "explicit education institution line"),
         (skills_of(F.col("_lines")), lambda i: F.concat(F.lit("skills["), i, F.lit("].name")), "explicit skills section"),
     ]
-    rows = rows.withColumns({f"_l{n}": values for n, (values, _, _) in enumerate(lists)})
+    rows = settled(rows.withColumns({f"_l{n}": values for n, (values, _, _) in enumerate(lists)}))
 
     def named(n: int, path, label: str) -> Column:
         return F.transform(F.col(f"_l{n}"), lambda v, i: F.struct(path(i.cast("string")).alias("path"), v.alias("value"), F.lit(label).alias("evidence")))
@@ -163,8 +185,6 @@ def collect_facts(*facts: DataFrame) -> DataFrame:
     return every.withColumn("extraction_order", F.row_number().over(order))
 
 
-def normalize_facts(facts: DataFrame, default_region: str | None = None) -> DataFrame:
+def normalize_facts(facts: DataFrame, default_region: str | None = None, synonyms: Mapping[str, str] = SKILL_NAMES) -> DataFrame:
     """Each value under the normaliser that its path calls for; the original stays."""
-    from ..functions.normalize import by_target, target_of
-
-    return facts.withColumn("value", by_target(target_of(F.col("field_path")), F.col("value"), default_region))
+    return facts.withColumn("value", by_target(target_of(F.col("field_path")), F.col("value"), default_region, synonyms))

@@ -20,11 +20,11 @@ class PathError(ValueError):
 
 
 def parse(path: str) -> list[str | int]:
-    """Tokens: property names (texts), indices (numbers) and WILDCARD for ``[]``."""
+    """Tokens: property names (texts), indices (numbers) and WILDCARD for ``[]``. Blanks around the path do not count."""
     if not isinstance(path, str) or not path.strip():
         raise PathError("PATH_EMPTY", str(path), 0)
     tokens: list[str | int] = []
-    at, name_due = 0, True
+    path, at, name_due = path.strip(), 0, True
     while at < len(path):
         c = path[at]
         if name_due:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.normalize import BY_DIRECTIVE, DIRECTIVES
+from ..shared import settled
 from .paths import WILDCARD, PathError, parse, resolve
 
 TYPES = ("string", "number", "boolean", "object", "string[]", "number[]", "boolean[]", "object[]")
@@ -157,7 +158,7 @@ def project(profiles: DataFrame, config: ProjectionConfig, key: str = "candidate
     issues = config_issues(config)
     if issues:
         raise ValueError(f"invalid projection: {issues}")
-    tree, errors = _Tree(), []
+    tree, errors, values = _Tree(), [], []
 
     def failure(code: str, f: ProjectionField) -> Column:
         return F.struct(F.lit(code).alias("code"), F.lit(f.path).alias("path"), F.lit(f.source_path).alias("source"))
@@ -172,6 +173,8 @@ def project(profiles: DataFrame, config: ProjectionConfig, key: str = "candidate
             value, fits, present = F.lit(None).cast("string"), F.lit(False), F.lit(False)
         else:
             value, kind = _under_directives(got.column, got.type, f.normalize)
+            values.append(value.alias(f"_v{len(values)}"))  # each value is computed once, below
+            value = F.col(f"_v{len(values) - 1}")
             present = value.isNotNull() & (F.size(value) > 0 if got.many else F.lit(True))
             fits = F.lit(type_name(kind) == f.type)
             if isinstance(kind, T.ArrayType):
@@ -193,4 +196,6 @@ def project(profiles: DataFrame, config: ProjectionConfig, key: str = "candidate
         tree["provenance"] = _Leaf(json_of(F.col("provenance")))
     none = F.array().cast("array<struct<code:string,path:string,source:string>>")
     found = F.array_compact(F.array(*errors)) if errors else none
-    return profiles.select(key, F.coalesce(_render(tree), F.lit("{}")).alias("output"), found.cast("array<struct<code:string,path:string,source:string>>").alias("errors"))
+    flags = ["overallConfidence"] * config.include_confidence + ["provenance"] * config.include_provenance
+    rows = settled(profiles.select(key, *values, *(c for c in flags if c != key)))
+    return rows.select(key, F.coalesce(_render(tree), F.lit("{}")).alias("output"), found.cast("array<struct<code:string,path:string,source:string>>").alias("errors"))

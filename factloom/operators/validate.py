@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import matches
+from ..functions.text import bound, matches
 from .paths import parse
-from .project import ProjectionConfig
+from .project import ProjectionConfig, config_issues
 
 _ISSUES = "array<struct<path:string,reason:string>>"
-#: Shapes from public documents of the formats; what a validator library adds beyond them is not known here.
+_PROVENANCE = "array<struct<fieldPath:string,sourceKind:string,sourceId:string,method:string,sourceOrder:double,recordedAt:string,evidence:string>>"
+# Kinds, methods, and shapes from public documents of the formats (what a validator library adds beyond them is not known here).
 EMAIL = r"(?!\.)(?!.*\.\.)[A-Za-z0-9_'+.-]*[A-Za-z0-9_+-]@([A-Za-z0-9][A-Za-z0-9-]*\.)+[A-Za-z]{2,}"
 URL = r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/?#]+[^\s]*"
 E164, YEAR_MONTH, COUNTRY = r"\+[1-9][0-9]{1,14}", r"[0-9]{4}-(0[1-9]|1[0-2])", "[A-Z]{2}"
 DATETIME = r"[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])T([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9](\.[0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})"
 FIELD_PATH = r"[A-Za-z_][A-Za-z0-9_]*(\[([0-9]+|\*)?\])?(\.[A-Za-z_][A-Za-z0-9_]*(\[([0-9]+|\*)?\])?)*"
 METHODS, KINDS = ["structured_field_map", "pdf_text_span", "regex_match", "heuristic_rule"], ["ats_json", "resume_pdf"]
+# End of fixed values.
 
 
 def issue(bad: Column, path: str, reason: str) -> Column:
@@ -73,8 +75,13 @@ def split_profiles(profiles: DataFrame, settle=lambda df: df) -> tuple[DataFrame
 
 
 def output_issues(output: Column, config: ProjectionConfig, strict_null: bool = True) -> Column:
-    """Issues of a projected output (JSON). A null that is present fails its type if strict_null; else it counts as missing."""
-    v = F.try_parse_json(output)
+    """Issues of a projected output (JSON). A null that is present fails its type if strict_null; else it counts as missing. The configuration is checked again."""
+    if invalid := config_issues(config):
+        raise ValueError(f"invalid projection: {invalid}")
+    return bound(F.try_parse_json(output), lambda v: _output_issues(v, config, strict_null))
+
+
+def _output_issues(v: Column, config: ProjectionConfig, strict_null: bool) -> Column:
     found = []
     for f in config.fields:
         where = "$" + "".join(f"[{t}]" if isinstance(t, int) else f".{t}" for t in parse(f.path))
@@ -92,5 +99,8 @@ def output_issues(output: Column, config: ProjectionConfig, strict_null: bool =
         score = F.try_variant_get(v, "$.overallConfidence", "double")
         found.append(issue(~F.coalesce(score.between(0.0, 1.0), F.lit(False)), "overallConfidence", "not from 0 to 1"))
     if config.include_provenance:
-        found.append(issue(F.schema_of_variant(F.try_variant_get(v, "$.provenance", "variant")).isNull(), "provenance", "required"))
+        kind = F.schema_of_variant(F.try_variant_get(v, "$.provenance", "variant"))
+        found.append(issue(kind.isNull(), "provenance", "required"))
+        listed = F.try_variant_get(v, "$.provenance", _PROVENANCE)
+        found.append(issue(kind.isNotNull() & F.coalesce(F.exists(listed, bad_provenance), F.lit(True)), "provenance", "bad provenance"))
     return F.array_compact(F.array(*found)).cast(_ISSUES) if found else F.array().cast(_ISSUES)

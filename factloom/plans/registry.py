@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..functions import text as X
 from ..operators import confidence, extract, merge, validate
-from ..operators.project import ProjectionConfig, ProjectionField, project
+from ..operators.paths import PathError, parse
+from ..operators.project import ProjectionConfig, ProjectionField, config_issues, project, read_config
+from ..shared import settled
 from ..sources import records
 from . import pipeline
 
@@ -177,6 +179,36 @@ def unpivot_facts(spark, sf_dir):
     return extract.structured_facts(good).select("candidate_key", "fact_id", "field_path", "value", "extraction_order", "evidence")
 
 
+@query(_RECORD_SQL + """ SELECT candidate_key, candidate_key AS candidate_reference, email, company FROM g""")
+def structured_records(spark, sf_dir):
+    good, _ = records.parse_structured(_customer_records(table(spark, sf_dir, "customer")))
+    return good.select("candidate_key", "candidate_reference", "email", F.col("current_company").alias("company"))
+
+
+@query("""
+WITH c AS (SELECT *, CAST(c_custkey AS VARCHAR) AS candidate_key, 'resume:' || CAST(c_custkey AS VARCHAR) || '.txt' AS source_id FROM customer),
+f AS (SELECT candidate_key, source_id, 1 AS o, 'full_name' AS field_path, 'Pat Doe' AS value, 'regex full-name line' AS evidence FROM c
+  UNION ALL SELECT candidate_key, source_id, 2, 'emails[]', lower(regexp_replace(c_name, '[^A-Za-z0-9]', '.', 'g')) || '@example.com', 'regex email' FROM c
+  UNION ALL SELECT candidate_key, source_id, 3, 'phones[]', '+1 415-555-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0'), 'regex phone' FROM c
+  UNION ALL SELECT candidate_key, source_id, 4, 'experience[0].summary', 'Acme ' || c_mktsegment || ' (Mar 2021 - Present)', 'explicit experience block' FROM c
+  UNION ALL SELECT candidate_key, source_id, 5, 'education[0].institution', 'University of ' || c_mktsegment, 'explicit education institution line' FROM c
+  UNION ALL SELECT candidate_key, source_id, 6 + i, 'skills[' || CAST(i AS VARCHAR) || '].name', ['JS', 'TS', c_mktsegment][i + 1], 'explicit skills section' FROM c, range(3) r(i))
+SELECT candidate_key, source_id || ':' || field_path || ':' || lpad(CAST(o AS VARCHAR), 4, '0') AS fact_id, field_path, value, evidence, CAST(o AS INTEGER) AS extraction_order, 0.45::DOUBLE AS confidence FROM f""")
+def resume_emission(spark, sf_dir):
+    good, _ = records.parse_resumes(customer_sources(spark, sf_dir))
+    return extract.resume_facts(good).select("candidate_key", "fact_id", "field_path", "value", "evidence", "extraction_order", "confidence")
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, replace(chr(13) || chr(10) || ' ' || coalesce(text, '') || '  ' || chr(13) || chr(10) || chr(9) || 'end ', chr(13) || chr(10), chr(10)) AS t FROM documents),
+l AS (SELECT doc_id, {_sql_trim(f"array_to_string(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '{_SQL_WS}+$', '')), chr(10))")} AS c FROM t)
+SELECT doc_id, CAST(length(c) AS BIGINT) AS n, sha256(c) AS digest FROM l""")
+def clean_text(spark, sf_dir):
+    text = F.concat(F.lit("\r\n "), F.coalesce("text", F.lit("")), F.lit("  \r\n\tend "))
+    d = table(spark, sf_dir, "documents").select("doc_id", records.clean_document(text).alias("c"))
+    return d.select("doc_id", F.length("c").cast("long").alias("n"), F.sha2("c", 256).alias("digest"))
+
+
 @query("""
 WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS candidate_key, o_orderkey % 3 AS source_order, 'o' || CAST(o_orderkey AS VARCHAR) AS fact_id FROM orders)
 SELECT fact_id, CAST(row_number() OVER (PARTITION BY candidate_key ORDER BY source_order, fact_id) AS INTEGER) AS extraction_order FROM o""")
@@ -190,10 +222,10 @@ def fact_ordinal(spark, sf_dir):
 
 
 @query("""
-SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS candidate_key, 'PIPELINE_SOURCES_EMPTY' AS code FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 7 = 0)""")
+SELECT DISTINCT CAST(c_custkey * 2 AS VARCHAR) AS candidate_key, 'PIPELINE_SOURCES_EMPTY' AS code FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey * 2)""")
 def source_gate(spark, sf_dir):
-    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("candidate_key"))
-    loaded = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").cast("string").alias("candidate_key"))
+    asked = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).cast("string").alias("candidate_key"))
+    loaded = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("candidate_key"))
     return records.missing_sources(asked, loaded).select("candidate_key", "code")
 
 
@@ -202,57 +234,70 @@ def source_gate(spark, sf_dir):
 _STATUS = "CASE o_orderstatus WHEN 'F' THEN 100 WHEN 'O' THEN 50 ELSE 0 END"
 
 
-def _status_rank() -> Column:
-    return F.when(F.col("o_orderstatus") == "F", 100).when(F.col("o_orderstatus") == "O", 50).otherwise(0)
+def _fact_rows(rows: DataFrame, key: Column, path: Column, value: Column, order: Column, kind: Column | None = None, conf: Column | None = None) -> DataFrame:
+    kind = F.lit("ats_json") if kind is None else kind
+    return rows.select(
+        key.cast("string").alias("candidate_key"), F.concat_ws(":", F.lit("f"), order.cast("string")).alias("fact_id"), path.alias("field_path"), kind.alias("source_kind"), F.concat(kind, F.lit(":x")).alias("source_id"),
+        F.when(kind == "ats_json", "structured_field_map").otherwise("regex_match").alias("extraction_method"), value.alias("original_value"), value.alias("value"), F.lit("primitive").alias("value_kind"),
+        (F.lit(0.6) if conf is None else conf).alias("confidence"), F.when(kind == "ats_json", 1).otherwise(2).alias("source_order"), order.cast("int").alias("extraction_order"), F.lit("2026-01-01T00:00:00Z").alias("extracted_at"),
+        F.lit("e").alias("evidence"),
+    )
+
+
+def _headlines(o: DataFrame, value: Column) -> DataFrame:
+    """Orders as facts that compete for their customer's headline: status decides the source, price the confidence."""
+    kind = F.when(F.col("o_orderstatus") == "F", "ats_json").when(F.col("o_orderstatus") == "O", "resume_pdf").otherwise("other")
+    merged = merge.merge_facts(_fact_rows(o, F.col("o_custkey"), F.lit("headline"), value, F.col("o_orderkey"), kind, F.col("o_totalprice").cast("double")))
+    price = F.get(F.filter("seeds", lambda s: s["path"] == "headline"), F.lit(0))["confidence"]
+    return merged.select("candidate_key", F.col("headline").alias("value"), price.alias("price"))
+
 
+_WINNER = f"""SELECT CAST(o_custkey AS VARCHAR) AS candidate_key, v AS value, CAST(o_totalprice AS DOUBLE) AS price
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY {_STATUS} DESC, o_totalprice DESC, coalesce(v, 'null'), o_orderkey) AS r FROM (SELECT *, {{0}} AS v FROM orders)) WHERE r = 1"""
 
-@query(f"""SELECT o_custkey, o_orderkey, o_orderpriority AS value FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY {_STATUS} DESC, o_totalprice DESC, o_orderpriority, o_orderkey) AS r FROM orders) WHERE r = 1""")
+
+@query(_WINNER.format("o_orderpriority"))
 def winner_scalar(spark, sf_dir):
-    order = [_status_rank().desc(), F.col("o_totalprice").desc(), F.collate(F.col("o_orderpriority"), "UNICODE"), F.col("o_orderkey")]
-    return merge.winner(table(spark, sf_dir, "orders"), ["o_custkey"], order).select("o_custkey", "o_orderkey", F.col("o_orderpriority").alias("value"))
+    return _headlines(table(spark, sf_dir, "orders"), F.col("o_orderpriority"))
 
 
-@query(f"""SELECT o_custkey, o_orderkey, v AS value FROM (SELECT *, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS v,
-  row_number() OVER (PARTITION BY o_custkey ORDER BY {_STATUS} DESC, o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1""")
+@query(_WINNER.format("CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END"))
 def winner_null_wins(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").withColumn("v", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")))
-    return merge.winner(o, ["o_custkey"], [_status_rank().desc(), F.col("o_totalprice").desc(), F.col("o_orderkey")]).select("o_custkey", "o_orderkey", F.col("v").alias("value"))
+    return _headlines(table(spark, sf_dir, "orders"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")))
 
 
 @query("""
 WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE ' ' || event_type || ' ' END AS v FROM events),
-k AS (SELECT user_id, event_id, trim(v) AS v, lower(trim(v)) AS key FROM e),
-g AS (SELECT user_id, key, min(event_id) AS first, arg_min(v, event_id) AS value, count(*) AS n FROM k GROUP BY user_id, key)
-SELECT user_id, key, value, n, row_number() OVER (PARTITION BY user_id ORDER BY first) - 1 AS position FROM g""")
+k AS (SELECT user_id, event_id, trim(v) AS v, lower(trim(v)) AS key FROM e WHERE trim(v) <> ''),
+g AS (SELECT user_id, key, min(event_id) AS first, arg_min(v, event_id) AS name, count(*) AS n FROM k GROUP BY user_id, key)
+SELECT CAST(user_id AS VARCHAR) AS candidate_key, row_number() OVER (PARTITION BY user_id ORDER BY first) - 1 AS slot, name, n FROM g""")
 def dedup_first_seen(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.concat(F.lit(" "), F.col("event_type"), F.lit(" "))).alias("v"))
-    found = merge.first_seen(e, ["user_id"], F.col("v"), merge.text_key(F.col("v")), [F.col("event_id")])
-    return found.select("user_id", "key", "value", "n", F.col("position").cast("long").alias("position"))
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    value = F.when(i % 2 == 0, F.upper("event_type")).otherwise(F.concat(F.lit(" "), F.col("event_type"), F.lit(" ")))
+    merged = merge.merge_facts(_fact_rows(e, F.col("user_id"), F.concat(F.lit("skills["), i.cast("string"), F.lit("]")), value, i))
+    skills = merged.select("candidate_key", F.posexplode("skills").alias("slot", "s"))
+    return skills.select("candidate_key", F.col("slot").cast("long").alias("slot"), "s.name", F.size("s.sources").cast("long").alias("n"))
 
 
 @query("""
 WITH p AS (SELECT page_id, page_id % 7 AS g, CASE WHEN page_id % 2 = 0 THEN url || '//' ELSE url END AS u FROM pages),
-k AS (SELECT g, page_id, u, regexp_replace(lower(u), '/+$', '') AS key FROM p WHERE u IS NOT NULL AND trim(u) <> '')
-SELECT g, key, arg_min(u, page_id) AS value, count(*) AS n FROM k GROUP BY g, key""")
+k AS (SELECT g, page_id, u, regexp_replace(lower(u), '/+$', '') AS key FROM p WHERE u IS NOT NULL AND trim(u) <> ''),
+f AS (SELECT g, key, min(page_id) AS first, arg_min(u, page_id) AS link FROM k GROUP BY g, key)
+SELECT CAST(g AS VARCHAR) AS candidate_key, row_number() OVER (PARTITION BY g ORDER BY first) - 1 AS slot, link FROM f""")
 def dedup_links(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 7).alias("g"), F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit("//"))).otherwise(F.col("url")).alias("u"))
-    return merge.first_seen(p, ["g"], F.col("u"), merge.link_key(F.col("u")), [F.col("page_id")]).select("g", "key", "value", "n")
+    p, i = table(spark, sf_dir, "pages"), F.col("page_id")
+    url = F.when(i % 2 == 0, F.concat("url", F.lit("//"))).otherwise(F.col("url"))
+    merged = merge.merge_facts(_fact_rows(p, i % 7, F.lit("links.other[]"), url, i))
+    return merged.select("candidate_key", F.posexplode("links.other").alias("slot", "link")).select("candidate_key", F.col("slot").cast("long").alias("slot"), "link")
 
 
-@query("""SELECT user_id, event_type, min(event_id) AS first_event, count(*) AS n FROM events GROUP BY user_id, event_type""")
+@query("""
+WITH e AS (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY user_id, event_type)
+SELECT CAST(user_id AS VARCHAR) AS candidate_key, row_number() OVER (PARTITION BY user_id ORDER BY first) - 1 AS slot, event_type AS field FROM e""")
 def provenance_distinct(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("entry", F.struct("user_id", "event_type"))
-    return e.groupBy("entry").agg(F.min("event_id").alias("first_event"), F.count("*").alias("n")).select("entry.*", "first_event", "n")
-
-
-def _fact_rows(rows: DataFrame, key: Column, path: Column, value: Column, order: Column, kind: Column | None = None, conf: Column | None = None) -> DataFrame:
-    kind = F.lit("ats_json") if kind is None else kind
-    return rows.select(
-        key.cast("string").alias("candidate_key"), F.concat_ws(":", F.lit("f"), order.cast("string")).alias("fact_id"), path.alias("field_path"), kind.alias("source_kind"), F.concat(kind, F.lit(":x")).alias("source_id"),
-        F.when(kind == "ats_json", "structured_field_map").otherwise("regex_match").alias("extraction_method"), value.alias("original_value"), value.alias("value"), F.lit("primitive").alias("value_kind"),
-        (F.lit(0.6) if conf is None else conf).alias("confidence"), F.when(kind == "ats_json", 1).otherwise(2).alias("source_order"), order.cast("int").alias("extraction_order"), F.lit("2026-01-01T00:00:00Z").alias("extracted_at"),
-        F.lit("e").alias("evidence"),
-    )
+    e = table(spark, sf_dir, "events")
+    merged = merge.merge_facts(_fact_rows(e, F.col("user_id"), F.col("event_type"), F.col("event_type"), F.col("event_id")))
+    return merged.select("candidate_key", F.posexplode("provenance").alias("slot", "p")).select("candidate_key", F.col("slot").cast("long").alias("slot"), F.col("p.fieldPath").alias("field"))
 
 
 @query("""
@@ -290,11 +335,11 @@ def candidate_id_fallback(spark, sf_dir):
 
 
 @query("""
-WITH f AS (SELECT o_custkey, o_orderkey, lower(o_orderpriority) AS key, o_orderpriority AS v FROM orders WHERE o_orderstatus <> 'P'),
+WITH f AS (SELECT o_custkey, o_orderkey, lower(o_orderpriority) AS key, o_orderpriority AS v FROM orders),
 b AS (SELECT o_custkey, key, min(o_orderkey) AS first, arg_min(v, o_orderkey) AS name, count(*) AS n FROM f GROUP BY 1, 2)
 SELECT CAST(o_custkey AS VARCHAR) AS candidate_key, row_number() OVER (PARTITION BY o_custkey ORDER BY first) - 1 AS slot, name, n FROM b""")
 def merge_skills(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
+    o = table(spark, sf_dir, "orders")
     path = F.concat(F.lit("skills["), F.col("o_orderkey").cast("string"), F.lit("].name"))
     merged = merge.merge_facts(_fact_rows(o, F.col("o_custkey"), path, F.col("o_orderpriority"), F.col("o_orderkey")))
     skills = merged.select("candidate_key", F.posexplode("skills").alias("slot", "s"))
@@ -344,14 +389,46 @@ def field_score(spark, sf_dir):
     return _field_scores(spark, sf_dir).select("user_id", "event_type", "score")
 
 
-@query(f"""WITH c AS ({_COUNTS}), s AS (SELECT user_id, n, CAST(round({_FIELD} * 10000) AS BIGINT) AS score FROM c), w AS (SELECT user_id, score, CASE n % 3 WHEN 0 THEN 20 WHEN 1 THEN 16 ELSE 3 END AS w FROM s)
-SELECT user_id, floor(sum(score * w)::DOUBLE / sum(w)::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE AS overall FROM w GROUP BY user_id""")
+def _scored_customers(spark, sf_dir) -> DataFrame:
+    """Profiles of customers, scored: an email and a full name from each order, in turn from either source."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    kind = F.when(key % 2 == 0, "ats_json").otherwise("resume_pdf")
+    facts = _fact_rows(o, F.col("o_custkey"), F.concat(F.lit("emails["), key.cast("string"), F.lit("]")), F.col("o_orderpriority"), key, kind)
+    facts = facts.unionByName(_fact_rows(o, F.col("o_custkey"), F.lit("full_name"), F.col("o_orderstatus"), key, kind))
+    return settled(confidence.score_profiles(settled(merge.merge_facts(facts))))
+
+
+def _sql_mean(first: str, second: str) -> str:
+    """Mean of a times one number and b times another, added up in order."""
+    return f"list_reduce(list_concat(list_transform(range(a), lambda x: {first}::DOUBLE), list_transform(range(b), lambda x: {second}::DOUBLE)), lambda acc, x: acc + x) / (a + b)::DOUBLE"
+
+
+_SUPPORT = f"""
+WITH o AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS a, count(*) FILTER (WHERE o_orderkey % 2 <> 0) AS b, count(DISTINCT lower(o_orderpriority)) AS m FROM orders GROUP BY 1),
+f AS (SELECT o_custkey, 'emails' AS field, a, b, m FROM o UNION ALL SELECT o_custkey, 'full_name', CAST(a > 0 AS BIGINT), CAST(b > 0 AS BIGINT), 1 FROM o),
+c AS (SELECT *, a + b AS n, CAST(a > 0 AS BIGINT) + CAST(b > 0 AS BIGINT) AS sources, CAST(a > 0 AS BIGINT) + CAST(b > 0 AS BIGINT) AS methods FROM f),
+p AS (SELECT *, {_sql_mean("0.85", "0.7")} AS s, {_sql_mean("0.9", "0.75")} AS t, {_AGREE} AS agreement FROM c),
+v AS (SELECT *, floor(least(greatest(s * 0.45::DOUBLE + t * 0.35::DOUBLE + agreement * 0.2::DOUBLE, 0::DOUBLE), 1::DOUBLE) * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE AS score FROM p)"""
+
+
+@query(
+    _SUPPORT
+    + """ SELECT CAST(o_custkey AS VARCHAR) AS candidate_key, CASE WHEN field = 'emails' THEN i ELSE (SELECT m FROM o WHERE o.o_custkey = v.o_custkey) END AS slot,
+  CASE WHEN field = 'emails' THEN 'emails[' || CAST(i AS VARCHAR) || ']' ELSE field END AS path, score, agreement FROM v, range(5) r(i) WHERE i < m"""
+)
+def field_confidence(spark, sf_dir):
+    fields = _scored_customers(spark, sf_dir).select("candidate_key", F.posexplode("fieldConfidence").alias("slot", "f"))
+    return fields.select("candidate_key", F.col("slot").cast("long").alias("slot"), F.col("f.fieldPath").alias("path"), F.col("f.score.value").alias("score"), F.col("f.score.agreementWeight").alias("agreement"))
+
+
+@query(
+    _SUPPORT
+    + """, w AS (SELECT e.o_custkey, list_append(list_transform(range(e.m), lambda x: e.score * 0.2::DOUBLE), n.score * 0.22::DOUBLE) AS products, list_append(list_transform(range(e.m), lambda x: 0.2::DOUBLE), 0.22::DOUBLE) AS weights
+  FROM v e JOIN v n ON e.o_custkey = n.o_custkey AND e.field = 'emails' AND n.field = 'full_name')
+SELECT CAST(o_custkey AS VARCHAR) AS candidate_key, floor(list_reduce(products, lambda acc, x: acc + x) / list_reduce(weights, lambda acc, x: acc + x) * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE AS overall FROM w"""
+)
 def overall_confidence(spark, sf_dir):
-    s = _field_scores(spark, sf_dir)
-    path = F.when(F.col("n") % 3 == 0, "emails[0]").when(F.col("n") % 3 == 1, "phones[12]").otherwise("headline")
-    # Whole numbers, so that the order of addition cannot matter.
-    s = s.select("user_id", F.round(F.col("score") * 10000).cast("long").alias("score"), F.round(confidence.field_weight(path) * 100).cast("long").alias("w"))
-    return s.groupBy("user_id").agg((F.floor(F.sum(F.col("score") * F.col("w")).cast("double") / F.sum("w").cast("double") + 0.5) / 10000.0).alias("overall"))
+    return _scored_customers(spark, sf_dir).select("candidate_key", F.col("overallConfidence.value").alias("overall"))
 
 
 @query("""
@@ -430,6 +507,21 @@ def stable_serialise(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.serialised(F.when(i % 4 != 0, F.col("event_type"))).alias("text"), X.to_number(text).alias("number"))
 
 
+@query(f"SELECT CAST(o_custkey AS VARCHAR) AS candidate_key, 'f:' || CAST(o_orderkey AS VARCHAR) AS fact_id, {sql_choice(_VALUES, 'o_orderkey')} AS original_value, nullif({sql_choice(_DONE, 'o_orderkey')}, '-') AS value FROM orders")
+def normalise_facts(spark, sf_dir):
+    k = F.col("o_orderkey")
+    facts = _fact_rows(table(spark, sf_dir, "orders"), F.col("o_custkey"), choice(_PATHS, k), choice(_VALUES, k), k)
+    return extract.normalize_facts(facts).select("candidate_key", "fact_id", "original_value", "value")
+
+
+_BLANKS, _FULL = [" a ", "", "  ", "x\ty", "\u00a0\u3000", "\ufeffz\n", "0"], ["a", "", "", "x\ty", "", "z", "0"]
+
+
+@query(f"SELECT event_id, nullif({sql_choice(_FULL, 'event_id')}, '') AS value FROM events")
+def non_empty_text(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", X.non_empty(choice(_BLANKS, F.col("event_id"))).alias("value"))
+
+
 # Projection and validation
 
 
@@ -484,6 +576,51 @@ def path_get(spark, sf_dir):
     return e.select("event_id", resolve("props.k", e.schema).column.alias("k"))
 
 
+@query(f"""WITH t AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '+1415555' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') END AS phone, {sql_choice(_SKILL_WANT, 'c_custkey')} AS skill FROM customer)
+SELECT c_custkey, '{{"phone":' || coalesce('"' || phone || '"', 'null') || ',"skills":' || CASE WHEN skill = '' THEN 'null' ELSE '["' || skill || '","JavaScript"]' END || '}}' AS output FROM t""")
+def project_directives(spark, sf_dir):
+    k = F.col("c_custkey")
+    phone = F.when(k % 3 == 0, F.concat(F.lit("+1 (415) 555-"), F.lpad((k % 10000).cast("string"), 4, "0"))).otherwise("12")
+    people = table(spark, sf_dir, "customer").select("c_custkey", phone.alias("phone"), F.array(choice(_SKILL_TEXTS, k), F.lit("js")).alias("skills"))
+    config = ProjectionConfig([ProjectionField("phone", "string", normalize=["E164"]), ProjectionField("skills", "string[]", normalize=["canonical"])])
+    return project(people, config, "c_custkey").select("c_custkey", "output")
+
+
+#: Both spellings of options, keys that do not count, and a directive in other letters.
+_RAW = {"fields": [{"path": "name", "type": "string", "from": "c_name", "odd": 1}, {"path": "segment", "type": "string", "from": "c_mktsegment", "normalize": ["CANONICAL"]}], "include_confidence": True, "includeProvenance": True, "on_missing": "omit"}
+
+
+@query("""SELECT c_custkey, '{"name":"' || c_name || '","segment":"' || c_mktsegment || '","overallConfidence":' || CAST((c_custkey % 100)::DOUBLE / 100::DOUBLE AS VARCHAR)
+  || ',"provenance":[{"fieldPath":"name","sourceOrder":' || CAST(c_custkey % 3 AS VARCHAR) || '}]}' AS output FROM customer""")
+def project_flags(spark, sf_dir):
+    k = F.col("c_custkey")
+    score = F.struct(((k % 100).cast("double") / 100.0).alias("value"))
+    people = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", score.alias("overallConfidence"), F.array(F.struct(F.lit("name").alias("fieldPath"), (k % 3).alias("sourceOrder"))).alias("provenance"))
+    return project(people, read_config(_RAW), "c_custkey").select("c_custkey", "output")
+
+
+_PATH_CASES = {" a.b[2] ": "a|b|2", "skills[].name": "skills|*|name", "": "PATH_EMPTY:0", "a..b": "PATH_INVALID_IDENTIFIER:2", "a[x]": "PATH_INVALID_INDEX:2", "a[1": "PATH_UNTERMINATED_BRACKET:1", "a-b": "PATH_INVALID_CHARACTER:1"}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{path}', '{want}')" for path, want in _PATH_CASES.items()) + ") t(path, tokens)")
+def path_parse(spark, sf_dir):
+    def told(path: str) -> str:
+        try:
+            return "|".join(map(str, parse(path)))
+        except PathError as e:
+            return f"{e.code}:{e.position}"
+
+    return spark.createDataFrame([(p, told(p)) for p in _PATH_CASES], "path string, tokens string")
+
+
+_BAD_RAW = {"fields": [{"path": "a[]", "type": "text"}, {"path": "b", "type": "string", "mapping": "mapped"}, {"path": "b", "type": "string", "normalize": ["canonical", "canonical", "odd"]}], "onMissing": "never"}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{place}')" for place in ("fields.0.path", "fields.0.type", "fields.1.from", "fields.2.normalize", "fields.2.path", "onMissing")) + ") t(place)")
+def config_check(spark, sf_dir):
+    return spark.createDataFrame([(p,) for p, _ in config_issues(read_config(_BAD_RAW))], "place string").distinct()
+
+
 @query("""SELECT event_id, event_type IS NOT NULL AS as_text, value IS NOT NULL AS as_number, FALSE AS text_as_number FROM events""")
 def type_contract(spark, sf_dir):
     config = ProjectionConfig([ProjectionField("a", "string", source="event_type"), ProjectionField("b", "number", source="value"), ProjectionField("c", "number", source="event_type")], on_missing="error")
@@ -506,7 +643,7 @@ def validate_canonical_issues(spark, sf_dir):
     o, key = table(spark, sf_dir, "orders"), F.col("o_custkey")
     facts = _fact_rows(o, key, F.lit("emails[]"), F.lit("no mail"), F.col("o_orderkey"))
     facts = facts.unionByName(_fact_rows(o, key, F.lit("location.country"), F.when(key % 2 == 0, "Utopia").otherwise("FR"), F.col("o_orderkey")))
-    rows = pipeline.settled(confidence.score_profiles(pipeline.settled(merge.merge_facts(facts))))
+    rows = settled(confidence.score_profiles(settled(merge.merge_facts(facts))))
     return rows.select("candidate_key", F.array_join(F.transform(validate.profile_issues(), lambda i: F.concat_ws(": ", i["path"], i["reason"])), "; ").alias("issues"))
 
 
@@ -539,11 +676,28 @@ PROFILE = ProjectionConfig(
 )
 
 
-@query()
+_FLOW_SQL = """
+WITH c AS (SELECT *, CAST(c_custkey AS VARCHAR) AS k, NOT (c_custkey % 97 = 0 OR c_custkey % 89 = 0 OR c_custkey % 83 = 0) AS good, lower(regexp_replace(c_name, '[^A-Za-z0-9]', '.', 'g')) || '@example.com' AS email FROM customer),
+s AS (SELECT *, good AND c_custkey % 2 = 0 AS employed,
+  CASE WHEN good AND c_custkey % 5 <> 0 THEN 0.8175::DOUBLE ELSE 0.7075::DOUBLE END AS email_score, CASE WHEN good THEN 0.8175::DOUBLE ELSE 0.7075::DOUBLE END AS both_score FROM c),
+w AS (SELECT *, list_concat([0.7075::DOUBLE * 0.05::DOUBLE, email_score * 0.2::DOUBLE], CASE WHEN employed THEN [0.8275::DOUBLE * 0.08::DOUBLE] ELSE [] END,
+    [0.7075::DOUBLE * 0.03::DOUBLE, both_score * 0.22::DOUBLE, both_score * 0.16::DOUBLE], list_transform(range(3), lambda x: 0.6775::DOUBLE * 0.14::DOUBLE)) AS products,
+  list_concat([0.05::DOUBLE, 0.2::DOUBLE], CASE WHEN employed THEN [0.08::DOUBLE] ELSE [] END, [0.03::DOUBLE, 0.22::DOUBLE, 0.16::DOUBLE], list_transform(range(3), lambda x: 0.14::DOUBLE)) AS weights FROM s),
+o AS (SELECT *, floor(list_reduce(products, lambda acc, x: acc + x) / list_reduce(weights, lambda acc, x: acc + x) * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE AS overall FROM w)
+SELECT k AS candidate_key, '{"candidate":{"id":"' || CASE WHEN good THEN 'ats:' || k || '.json' ELSE 'resume:' || k || '.txt' END
+  || '","name":"' || CASE WHEN NOT good THEN 'Pat Doe' WHEN c_custkey % 3 = 0 THEN 'C ' || c_name ELSE c_name END || '"},"contact":{"email":"' || email
+  || '","phone":"+1415555' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || '"},"skills":["JavaScript","TypeScript","' || c_mktsegment || '"]'
+  || CASE WHEN employed THEN ',"company":"' || c_mktsegment || '"' ELSE '' END || ',"overallConfidence":' || CAST(overall AS VARCHAR) || '}' AS output FROM o"""
+
+
+@query(_FLOW_SQL)
 def full_pipeline(spark, sf_dir):
     return pipeline.run(customer_sources(spark, sf_dir), PROFILE).outputs
 
 
-@query()
+@query("""
+SELECT CAST(c_custkey AS VARCHAR) AS candidate_key, 'ats:' || CAST(c_custkey AS VARCHAR) || '.json' AS source_id, 'load_ats_json' AS stage, 'ATS_JSON_PARSE_FAILED' AS code,
+  CASE WHEN c_custkey % 97 = 0 THEN 'ATS input is not valid JSON.' WHEN c_custkey % 89 = 0 THEN 'ATS input schema validation failed: id' ELSE 'ATS input string is empty.' END AS message
+FROM customer WHERE c_custkey % 97 = 0 OR c_custkey % 89 = 0 OR c_custkey % 83 = 0""")
 def pipeline_errors(spark, sf_dir):
     return pipeline.run(customer_sources(spark, sf_dir), PROFILE).errors

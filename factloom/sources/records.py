@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, trimmed
+from ..functions.text import WS, bound, trimmed
+from ..shared import settled
 
 #: candidate_key groups the sources of one person.
 SOURCE_COLUMNS = ("candidate_key", "source_id", "source_kind", "source_order", "ingested_at", "text")
@@ -37,9 +38,10 @@ def read_structured(spark: SparkSession, path: str, ingested_at: str, key: Colum
 
 
 def read_resumes(spark: SparkSession, path: str, ingested_at: str, key: Column | None = None) -> DataFrame:
-    """Files with one resume text each, as bytes: invalid UTF-8 is replaced, a byte-order mark dropped."""
+    """Files with one resume text each, as bytes: invalid UTF-8 is replaced, a byte-order mark dropped. A PDF has no text here: see read_pdf_resumes."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return _described(files, decoded(F.col("content")), RESUME, "resume:", 2, ingested_at, key)
+    is_pdf = F.substring("content", 1, 4) == F.lit(b"%PDF")
+    return _described(files, F.when(~is_pdf, decoded(F.col("content"))), RESUME, "resume:", 2, ingested_at, key)
 
 
 def read_pdf_resumes(spark: SparkSession, path: str, ingested_at: str, to_text, key: Column | None = None) -> DataFrame:
@@ -78,9 +80,10 @@ def parse_structured(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     An id must be a text or a number if it is there; the other keys a text, null or absent; unknown keys are dropped.
     """
-    rows = sources.where(F.col("source_kind") == STRUCTURED).withColumn("_t", trimmed(F.col("text")))
-    rows = rows.withColumn("_v", F.try_parse_json("_t"))
-    kind = lambda k: F.schema_of_variant(F.try_variant_get("_v", f"$.{k}", "variant"))
+    rows = settled(sources.where(F.col("source_kind") == STRUCTURED).withColumn("_t", trimmed(F.col("text"))))
+    rows = settled(rows.withColumn("_v", F.try_parse_json("_t")))
+    rows = settled(rows.withColumns({f"_k_{k}": F.schema_of_variant(F.try_variant_get("_v", f"$.{k}", "variant")) for k in (*IDS, *TEXTS)}))
+    kind = lambda k: F.col(f"_k_{k}")
     numeric = r"\A(BIGINT|DOUBLE|FLOAT|DECIMAL.*)\z"
     is_object = F.schema_of_variant("_v").startswith("OBJECT")
     bad_id = lambda k: kind(k).isNotNull() & (kind(k) != "STRING") & ~kind(k).rlike(numeric)
@@ -90,9 +93,9 @@ def parse_structured(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("_t").isNull() | (F.col("_t") == ""), F.lit("ATS input string is empty."))
         .when(F.col("_v").isNull(), F.lit("ATS input is not valid JSON."))
         .when(~is_object, F.lit("ATS input schema validation failed: not an object"))
-        .when(F.size(wrong) > 0, F.concat(F.lit("ATS input schema validation failed: "), F.array_join(wrong, ", ")))
+        .otherwise(bound(wrong, lambda w: F.when(F.size(w) > 0, F.concat(F.lit("ATS input schema validation failed: "), F.array_join(w, ", ")))))
     )
-    rows = rows.withColumn("_why", why)
+    rows = settled(rows.withColumn("_why", why))
     values = [F.try_variant_get("_v", f"$.{k}", "string").alias(k) for k in (*IDS, *TEXTS)]
     good = rows.where(F.col("_why").isNull()).select("candidate_key", "source_id", "source_kind", "source_order", "ingested_at", *values)
     good = good.withColumn("candidate_reference", F.coalesce("candidate_id", "id"))
@@ -104,7 +107,7 @@ def parse_resumes(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = sources.where(F.col("source_kind") == RESUME)
     missing = F.col("text").isNull()
     good = rows.where(~missing).withColumn("text", plain_text(F.col("text")))
-    return good, rows.where(missing).select(*error("load_resume_pdf", "RESUME_PDF_PARSE_FAILED", F.lit("Resume has no text.")))
+    return good, rows.where(missing).select(*error("load_resume_pdf", "RESUME_PDF_PARSE_FAILED", F.lit("Resume has no text: the source is empty, its conversion failed, or it is a PDF and no parser was given.")))
 
 
 def missing_sources(requested: DataFrame, loaded: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Streaming form of the flow: sources arrive, facts follow, profiles of the candidates concerned are made anew.
 
 Parsing, extraction and normalisation are row-local and run on a stream as they are. Only the merge needs a candidate's
-facts together, so each micro-batch appends its facts to a table and rebuilds the profiles of the candidates it touches.
+facts together, so each micro-batch appends its facts to a table and rebuilds the profiles of the candidates it touches. The
+table is cut into buckets by candidate, and only the buckets that a batch touches are read.
 """
 
 from __future__ import annotations
@@ -9,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators import confidence, extract, merge
-from ..plans.pipeline import settled
+from ..shared import settled
 from ..sources import records
 
 
@@ -24,7 +26,11 @@ def facts_of_stream(sources: DataFrame, default_region: str | None = None) -> Da
     return extract.normalize_facts(facts, default_region)
 
 
-def profiles_of_batches(facts: DataFrame, facts_path: str, sink: Callable[[DataFrame, int], None]) -> DataStreamWriter:
+#: Folders of the table of facts: a small batch reads few of them.
+BUCKETS = 256
+
+
+def profiles_of_batches(facts: DataFrame, facts_path: str, sink: Callable[[DataFrame, int], None], buckets: int = BUCKETS) -> DataStreamWriter:
     """A writer that hands sink(profiles, batch) the scored profiles of the candidates of each batch.
 
     Facts are written under their batch number, so a batch that is repeated after a failure replaces its own facts.
@@ -32,9 +38,12 @@ def profiles_of_batches(facts: DataFrame, facts_path: str, sink: Callable[[DataF
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{facts_path}/batch={number}")
-        fresh = spark.read.parquet(f"{facts_path}/batch={number}").select("candidate_key").distinct()
-        known = spark.read.option("basePath", facts_path).parquet(facts_path).where(f"batch <= {number}").drop("batch")
+        placed = batch.withColumn("bucket", F.pmod(F.xxhash64("candidate_key"), F.lit(buckets)).cast("int"))
+        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{facts_path}/batch={number}")
+        now = spark.read.schema(placed.schema).parquet(f"{facts_path}/batch={number}")
+        fresh = now.select("candidate_key").distinct()
+        touched_buckets = [r["bucket"] for r in now.select("bucket").distinct().collect()]  # as many as there are buckets at most
+        known = spark.read.option("basePath", facts_path).parquet(facts_path).where(F.col("bucket").isin(touched_buckets) & (F.col("batch") <= number)).drop("batch", "bucket")
         touched = extract.collect_facts(known.join(fresh, "candidate_key", "left_semi"))
         sink(confidence.score_profiles(settled(merge.merge_facts(touched))), number)
 

@@ -37,6 +37,10 @@ def test_phone(spark, text, want):
     assert values(spark, [text], N.phone(F.col("x"))) == [want]
 
 
+def test_phone_of_a_calling_code_without_a_row(spark):
+    assert values(spark, ["+359 2 123 4567", "+234 803 123 4567", "+210 123456", "+359 12", "+234 12345678901"], N.phone(F.col("x"))) == ["+35921234567", "+2348031234567", "+210123456", None, None]
+
+
 def test_phone_default_region(spark):
     assert values(spark, ["415-555-2671", "1 415 555 2671", "+44 20 7183 8750"], N.phone(F.col("x"), "US")) == ["+14155552671", "+14155552671", "+442071838750"]
 

@@ -9,9 +9,11 @@ from factloom.operators.project import ProjectionConfig, ProjectionField, config
 from factloom.plans import pipeline
 from factloom.sources import records
 
+# The sample candidate.
 RECORD = {"id": "cand-001", "name": "Jane Doe", "email": "jane.doe@acme.com", "phone": "+1 (415) 555-2671", "title": "Senior Software Engineer", "current_company": "Acme Corporation", "location": {"city": "San Francisco"}}
 SUMMARY = "Nimbus Labs - Engineer (Mar 2021 - Present)\nBuilt pipelines.\nAcme Corporation - Engineer (Jan 2018 - Feb 2021)"
 RESUME = f"Jane A. Doe\njane.doe@acme.com\n+1 415-555-2671\n\nExperience\n{SUMMARY}\n\nEducation\nUniversity of California, Berkeley\nB.S., 2018\n\nSkills\nJS, TS, Node, Postgres\n"
+# End of fixed values.
 SOURCES = "candidate_key string, source_id string, source_kind string, source_order int, ingested_at string, text string"
 MAPPED = {
     "fields": [
@@ -62,6 +64,20 @@ def test_batch_equals_single_runs_and_bad_records_do_not_stop_it(spark):
     assert codes == sorted([("b1", "ATS_JSON_PARSE_FAILED"), ("b2", "ATS_JSON_PARSE_FAILED"), ("b3", "ATS_JSON_PARSE_FAILED"), ("b4", "RESUME_PDF_PARSE_FAILED"), *((b, "PIPELINE_SOURCES_EMPTY") for b in ("b1", "b2", "b3", "b4"))])
 
 
+def test_sources_that_are_not_described_give_errors_not_facts(spark):
+    rows = [("d1", "", "ats_json", 1, "t", '{"name": "A B"}'), ("d2", "r", "resume_pdf", None, "t", "Jane Doe"), ("d3", "x", "odd", 1, "t", "z")]
+    facts, errors = pipeline.facts_of(sources(spark, *rows))
+    assert {r.candidate_key for r in facts.collect()} == {"c"}
+    assert sorted((r.candidate_key, r.code) for r in errors.collect()) == [("d1", "ATS_EXTRACTION_FAILED"), ("d2", "RESUME_EXTRACTION_FAILED"), ("d3", "PIPELINE_SOURCES_EMPTY")]
+
+
+def test_stages_can_be_replaced(spark):
+    only = {"ats_json": extract.structured_facts}
+    run = pipeline.run(sources(spark), read_config({"fields": [{"path": "n", "type": "string", "from": "fullName"}, {"path": "s", "type": "string[]", "from": "skills[].name"}], "onMissing": "omit"}), extractors=only, synonyms={})
+    assert [json.loads(r.output) for r in run.outputs.collect()] == [{"n": "Jane Doe"}]
+    assert {s.name for s in run.stages} == set(pipeline.STAGES) and run.counters()["profiles"] == 1
+
+
 def test_resume_sections(spark):
     text = "resume\nJane Doe\nSkills:\nnot a section\nskills\n• Go;  Rust |go\nx\nReferences\nz9"
     row = spark.createDataFrame([(text,)], "t string").select(extract.lines_of(F.col("t")).alias("l")).select(extract.name_of(F.col("l")), extract.skills_of(F.col("l")), extract.experience_of(F.col("l"))).collect()[0]
@@ -106,7 +122,7 @@ def test_agreement_ladder(spark):
 
 
 def test_path_parser():
-    assert parse("skills[].name") == ["skills", "*", "name"] and parse("a[0][].b") == ["a", 0, "*", "b"]
+    assert parse(" a.b ") == ["a", "b"] and parse("skills[].name") == ["skills", "*", "name"] and parse("a[0][].b") == ["a", 0, "*", "b"]
     for path, code in {"": "PATH_EMPTY", "a..b": "PATH_INVALID_IDENTIFIER", "a[*]": "PATH_INVALID_INDEX", "a[1": "PATH_UNTERMINATED_BRACKET", "a-b": "PATH_INVALID_CHARACTER", "a.": "PATH_INVALID_IDENTIFIER"}.items():
         with pytest.raises(PathError) as e:
             parse(path)
@@ -150,6 +166,22 @@ def test_output_validation_and_strict_null(spark):
     assert strict == [["a"], ["b", "c"]] and loose == [[], ["b", "c"]]
 
 
+def test_provenance_of_an_output_is_validated(spark):
+    config = ProjectionConfig([ProjectionField("a", "string")], include_provenance=True)
+    entry = {"fieldPath": "emails[0]", "sourceKind": "ats_json", "sourceId": "s", "method": "regex_match", "sourceOrder": 1, "recordedAt": "2026-01-01T00:00:00Z", "evidence": None}
+    rows = [json.dumps({"a": "x", "provenance": p}) for p in ([entry], [], [entry | {"method": "guess"}], [{}], 7)] + ['{"a":"x"}']
+    got = [[i.path for i in r[0]] for r in spark.createDataFrame([(r,) for r in rows], "o string").select(validate.output_issues(F.col("o"), config)).collect()]
+    assert got == [[], [], ["provenance"], ["provenance"], ["provenance"], ["provenance"]]
+    with pytest.raises(ValueError):
+        validate.output_issues(F.col("o"), ProjectionConfig([]))
+
+
+def test_a_pdf_without_a_parser_is_an_error(spark, tmp_path):
+    (tmp_path / "r.pdf").write_bytes(b"%PDF-1.4 ...")
+    _, bad = records.parse_resumes(records.read_resumes(spark, str(tmp_path / "r.pdf"), "t"))
+    assert [r.code for r in bad.collect()] == ["RESUME_PDF_PARSE_FAILED"]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(RECORD))
     (tmp_path / "b.txt").write_bytes(b"\xef\xbb\xbfJane Doe\r\nx\x00@y.org")
