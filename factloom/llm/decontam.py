@@ -10,7 +10,8 @@ are compared, exactly, as numbers of the benchmark's own vocabulary.
 The benchmark is the stated query set. It goes to all executors in blocks of items whose size is bounded; documents pass
 through one block after another, and hits add up.
 
-Defined cases: null or wordless text has no words and no hits; wordless items have no windows; equal items all count;
+Defined cases: a very long text is read whole; of equally rare shingles a window's first is its prefix; null or wordless text
+has no words and no hits; wordless items have no windows; equal items all count;
 null item ids are left out of the digest and the count; repeated rows return repeated rows; no rows in, no rows out;
 other columns are not read.
 """

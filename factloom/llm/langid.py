@@ -9,7 +9,10 @@ Prediction: the set bits of each language over the n-grams of the whole text are
 (c - n f) / (1 - f), where f is that filter's rate of false positives (fill ** HASHES). The largest corrected count
 decides, ties by code point; the score is the winner's share of all corrected counts.
 
-Defined cases: null text and text without letters give `und` with score 0; without any learnt language all are `und`; rows
+An n-gram's membership follows its relative frequency, by design: filed under every language that ever had it, common ones would be in
+all filters (not measured).
+
+Defined cases: a very long text goes through in pieces, whole; null text and text without letters give `und` with score 0; without any learnt language all are `und`; rows
 of null lang are not learnt from; a text so short that no n-gram is known goes to the most frequent language learnt,
 with score 0; repeated rows return repeated rows; other columns are not read; no rows in, no rows out.
 """

@@ -9,8 +9,11 @@ positives) are found by passing the table itself through the filters, so answers
 A line's key: the line stripped of ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased. Lines whose keys have at least
 min_chars code points and occur in at least min_docs documents lose all their occurrences.
 
-Defined cases: null or empty text is one empty line, and stays; an empty key is never dropped; a key counts once for each
-row that holds it (rows repeated in the table are documents of their own); other columns are not read.
+A filter that a change overfills is built anew, larger, from the table.
+
+Defined cases: null or empty text is one empty line, and stays; an empty key is never dropped; a very long text is split whole,
+and its result is one row; a key counts once for each row that holds it (rows repeated in the table are documents of their
+own); counts have no ties to settle; other columns are not read; no rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -164,14 +167,16 @@ def build_filters(refs: DataFrame, min_docs: int, n_shards: int) -> DataFrame:
 def update_filters(filters: DataFrame, before: DataFrame, after: DataFrame, min_docs: int, n_shards: int) -> DataFrame:
     """Filters after a change: keys that crossed the threshold upwards are inserted, downwards deleted; others stay untouched."""
     old = before.select("h1", "h2", F.col("refs").alias("old"))
-    moved = after.join(old, ["h1", "h2"], "full").select("h1", "h2", F.coalesce("refs", F.lit(0)).alias("new"), F.coalesce("old", F.lit(0)).alias("old"))
-    moved = moved.where((F.col("new") >= min_docs) != (F.col("old") >= min_docs)).select(shard_of(n_shards).alias("shard"), "h2", (F.col("new") >= min_docs).alias("rises"))
+    # Keys that are hot now stand by, for a shard that has to be built anew.
+    keys = after.join(old, ["h1", "h2"], "full").select("h1", "h2", (F.coalesce("refs", F.lit(0)) >= min_docs).alias("hot"), (F.coalesce("old", F.lit(0)) >= min_docs).alias("was"))
+    moved = keys.where("hot or was").select(shard_of(n_shards).alias("shard"), "h2", "hot", "was")
 
     def change(key: tuple, held: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        f = CuckooFilter.from_bytes(held["table"].iloc[0]) if len(held) else CuckooFilter(len(rows))
-        f.delete(rows.loc[~rows["rises"].astype(bool), "h2"].to_numpy(np.int64))
-        if not f.insert(rows.loc[rows["rises"].astype(bool), "h2"].to_numpy(np.int64)):
-            raise ValueError("a filter is full: rebuild with more shards")
+        h2, hot, was = rows["h2"].to_numpy(np.int64), rows["hot"].to_numpy(bool), rows["was"].to_numpy(bool)
+        f = CuckooFilter.from_bytes(held["table"].iloc[0]) if len(held) else CuckooFilter(int(hot.sum()))
+        f.delete(h2[was & ~hot])
+        if not f.insert(h2[hot & ~was]):
+            f = filter_of(np.sort(h2[hot]))
         return pd.DataFrame({"shard": [key[0]], "table": [f.to_bytes()]})
 
     return filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(change, "shard int, table binary")

@@ -9,7 +9,7 @@ made up by a shorter last block and by closing slots at the end, so each source
 Targets: sources by code point, null last, weigh 1, 2, 3, repeating, and share the size of all documents; a target stops at
 max_epochs times its source's size, and the excess is shared among the others by weight until none is above.
 
-Defined cases: null or empty text has size 0 and is never taken; a null source is a source of its own; documents with
+Defined cases: a very long text counts whole, and is cut where blocks end; null or empty text has size 0 and is never taken; a null source is a source of its own; documents with
 equal digests go by doc_id; repeated rows are laid one after another; no rows in, no rows out; other columns are not read.
 """
 

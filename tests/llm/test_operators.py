@@ -106,6 +106,22 @@ def test_line_dedup_is_reversible(spark):
     assert held == [[True], [False]]
 
 
+def test_an_overfull_filter_is_built_anew(spark):
+    refs = lambda n: spark.createDataFrame([(0, (i * 0x9E3779B97F4A7C15) % (1 << 62), 20) for i in range(n)], linededup.REFS_SCHEMA)
+    few, many = refs(40), refs(3000)
+    up = linededup.update_filters(linededup.build_filters(few, 10, 1), few, many, 10, 1).collect()
+    f = linededup.CuckooFilter.from_bytes(bytes(up[0].table))
+    assert len(up) == 1 and f.contains(np.array([r.h2 for r in many.collect()])).all()
+
+
+def test_a_long_text_goes_through_every_operator(spark, labelled):
+    """A million characters and more, beside short texts."""
+    text = " ".join(f"word{i % 9973}" for i in range(130_000)) + "\n" + "x" * 200_000
+    d = docs_of(spark, [text, "short", text + " ", None])
+    for name, run in operators(spark, labelled).items():
+        assert run(d).select("doc_id").count() == (3 if name == "exact_drop" else 4), name
+
+
 def test_cuckoo_filter_holds_and_lets_go():
     r = np.random.default_rng(1)
     keys, others = r.integers(-(1 << 62), 1 << 62, 5000), r.integers(-(1 << 62), 1 << 62, 50_000)
