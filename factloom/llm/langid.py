@@ -1,17 +1,14 @@
 """Language identification by bit-sliced Bloom filters of n-grams.
 
 Learning: of the training rows, for each language the per_language rows with the smallest hash of doc_id (a documented bound).
-An n-gram of letters belongs to a language if its frequency there, over its mean frequency in all languages, is at least
-1. The filters of all languages share one table: row p holds a bit for each language, so one look at the rows of an
-n-gram's HASHES places, and an AND of them, returns all languages that contain it.
+An n-gram of letters belongs to every language whose texts hold it least_count times or more (a parameter that keeps
+misspellings and names out). The filters of all languages share one table: row p holds a bit for each language, so one look at
+the rows of an n-gram's HASHES places, and an AND of them, returns all languages that contain it.
 
 Prediction: the set bits of each language over the n-grams of the whole text are counted; a count c of n looks becomes
 (c - n f) / (1 - f), where f is that filter's rate of false positives (fill ** HASHES). The largest corrected count
 decides, ties by code point; the score is the winner's share of all corrected counts.
 
-An n-gram's membership follows its relative frequency, by design: filed under every language that ever had it, common ones would be in
-all filters (not measured).
-
 Defined cases: a very long text goes through in pieces, whole; null text and text without letters give `und` with score 0; without any learnt language all are `und`; rows
 of null lang are not learnt from; a text so short that no n-gram is known goes to the most frequent language learnt,
 with score 0; repeated rows return repeated rows; other columns are not read; no rows in, no rows out.
@@ -30,7 +27,7 @@ from .common import read_table, text_list
 
 N, HASHES, BITS_PER_GRAM = 4, 3, 16
 PER_LANGUAGE = 1000
-#: An n-gram is learnt from so many occurrences on.
+#: An n-gram belongs to a language from so many occurrences on.
 LEAST_COUNT = 3
 #: Characters that are looked up together; a longer text goes through in pieces.
 PIECE = 1 << 20
@@ -140,7 +137,7 @@ def in_training(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageFilters:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, least_count: int = LEAST_COUNT) -> LanguageFilters:
     """docs: doc_id, text, lang. What comes to the driver is bounded by per_language texts of each language."""
     rows = docs.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).where(F.col("lang").isNotNull() & in_training(F.col("doc_id")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
@@ -152,12 +149,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageFilters:
     of = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(last[lang][0]))])
     chosen = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & in_training(F.col("doc_id")) & (F.xxhash64("doc_id") <= of[F.col("lang")]))
     counts = chosen.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).toLocalIterator()}
-    total = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(float(totals.get(lang, 1) or 1)))])
-    share = F.col("n") / total[F.col("lang")]
-    by_gram = counts.select("gram", "n", F.struct("lang", share.alias("p")).alias("s")).groupBy("gram").agg(F.collect_list("s").alias("s"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
-    mean = F.aggregate("s", F.lit(0.0), lambda acc, x: acc + x["p"]) / len(languages)
-    kept = by_gram.withColumn("mean", mean).select("gram", F.transform(F.filter("s", lambda x: x["p"] >= F.col("mean")), lambda x: x["lang"]).alias("langs"))
+    kept = counts.where(F.col("n") >= least_count).groupBy("gram").agg(F.collect_list("lang").alias("langs"))  # a language once
     number = {lang: i for i, lang in enumerate(languages)}
     grams, masks = [], []
     for r in kept.toLocalIterator():
