@@ -5,9 +5,14 @@ itself; null counts as empty) and digested with SHA-256. The cache is a table (v
 in the shared folder; version digests the tokenizer's file. Stored counts are joined on both digests, only
 distinct misses are encoded, and their counts are appended to the cache.
 
+Digests and lengths of all rows are written first. Of the rows of a missing digest the smallest doc_id is the one to
+encode, and its text is encoded where it is read: the misses' keys go to all executors if small enough. Beyond, a filter of
+the keys to encode and one of all others tell where each text belongs, and only texts that both hold are shuffled; with too
+many keys for filters, the misses are shuffled.
+
 Defined cases: null text is empty and has no tokens; very long texts are encoded in pieces cut where no
-token can cross; repeated texts are encoded once; repeated rows return repeated rows; an empty table
-returns no rows; other columns are not read.
+token can cross; equal texts are encoded once (rows that repeat the smallest doc_id too, once a task at most); repeated rows
+return repeated rows; null doc_ids are ordinary; an empty table returns no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, scratch_path, text_list
+from .common import BROADCAST_BYTES, by_key, key_filter, read_table, scratch_path, stored
 
 #: Texts above this many characters are cut between a non-space and a single space before a non-space: byte-level
 #: pre-tokens never cross there, and no added token holds a blank.
@@ -75,28 +80,7 @@ def _counter(path: str):
     return _loaded[path]
 
 
-def _first_seen(batches):
-    """(digest, text) of texts that this task has not sent yet; a hot text leaves each task once.
-
-    The digests that a task remembers are bounded: beyond a million it starts afresh, and a text sent twice
-    only costs its bytes, since the owner of the digest drops it.
-    """
-    seen: set[bytes] = set()
-    for batch in batches:
-        digests, texts = [], []
-        for text in text_list(batch.column("text")):
-            raw = text.encode("utf-8", "surrogatepass")
-            digest = hashlib.sha256(raw).digest()
-            if digest not in seen:
-                seen.add(digest)
-                digests.append(digest)
-                texts.append(text)
-        if len(seen) > 1_000_000:
-            seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(texts, pa.string())], ["digest", "text"])
-
-
-def _encode(path: str, version: str, chars: int = 1 << 20):
+def _encode(path: str, chars: int = 1 << 20):
     def run(batches):
         count, seen = _counter(path), set()
         for batch in batches:
@@ -113,7 +97,9 @@ def _encode(path: str, version: str, chars: int = 1 << 20):
                     n_tokens += count(texts)
                     texts, held = [], 0
             n_tokens += count(texts)
-            yield pa.RecordBatch.from_arrays([pa.array([version] * len(digests), pa.string()), pa.array(digests, pa.binary()), pa.array(n_tokens, pa.int64())], ["version", "digest", "n_tokens"])
+            if len(seen) > 1_000_000:  # bounded; a digest met again costs its encoding only
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(n_tokens, pa.int64())], ["digest", "n_tokens"])
 
     return run
 
@@ -125,19 +111,38 @@ def read_cache(spark: SparkSession, cache_path: str) -> DataFrame | None:
     return spark.read.schema(CACHE_SCHEMA).parquet(cache_path) if folder.getFileSystem(conf).exists(folder) else None
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 1024) -> DataFrame:
+def _chosen(texts: DataFrame, rows: DataFrame, misses: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """The rows of texts whose key is among misses; rows: the keys of all texts."""
+    key, n = F.struct("doc_id", "digest"), misses.count()
+    if n * 128 <= broadcast_bytes:
+        return by_key(texts, key, misses, "left_semi", broadcast_bytes)
+    others = rows.select(key.alias("key")).distinct()
+    others = stored(others.join(misses.toDF("miss"), F.col("key").eqNullSafe(F.col("miss")), "left_anti"), "token-others")
+    wanted, unwanted = key_filter(misses, n), key_filter(others, others.count())
+    if wanted is None or unwanted is None:
+        return texts.join(misses.toDF("miss"), key.eqNullSafe(F.col("miss")), "left_semi")
+    # A key is in exactly one of the two tables, so what a filter denies is certain.
+    likely = texts.where(wanted(key))
+    unsure = likely.where(unwanted(key)).join(misses.toDF("miss"), key.eqNullSafe(F.col("miss")), "left_semi")
+    return likely.where(~unwanted(key)).unionByName(unsure)
+
+
+def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 1024, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_bytes, n_tokens, over_limit; appends the misses to the cache."""
     spark, version = docs.sparkSession, tokenizer_version(tokenizer_path)
-    text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    misses = text.mapInArrow(_first_seen, "digest binary, text string").repartition("digest")
-    stored = read_cache(spark, cache_path)
-    if stored is not None:
-        known = stored.where(F.col("version") == version).select("digest").distinct()
+    text = F.coalesce(F.col("text"), F.lit(""))
+    digest = F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")
+    rows = stored(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest), "token-rows")
+    misses = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    known = read_cache(spark, cache_path)
+    if known is not None:
+        known = known.where(F.col("version") == version).select("digest").distinct()
         misses = misses.join(known.hint("shuffle_hash"), "digest", "left_anti")
-    misses.mapInArrow(_encode(tokenizer_path, version), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    misses = stored(misses.select(F.struct("doc_id", "digest").alias("key")), "token-misses")
+    texts = _chosen(docs.select("doc_id", text.alias("text"), digest), rows, misses, broadcast_bytes).select("digest", "text")
+    encoded = texts.mapInArrow(_encode(tokenizer_path), "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    encoded.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select("doc_id", F.length(raw).cast("long").alias("n_bytes"), F.unhex(F.sha2(raw, 256)).alias("digest"))
     return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

@@ -260,6 +260,33 @@ def test_language_id_held_out(spark):
     assert got[900].lang_pred == got[901].lang_pred == "und" and all(0 <= x.score <= 1 for x in got.values())
 
 
+def test_language_filters_against_sets(spark):
+    """Every language that has an n-gram often enough is returned for it, and counts without false positives decide alike."""
+    r = np.random.default_rng(4)
+    shared, own = ["nation", "station", "mente"], {"aa": ["lorem", "ipsum"], "bb": ["zwei", "drei"], "cc": ["cuatro", "\u0441\u043b\u043e\u0432\u043e"]}
+    rows = [(i, " ".join(r.choice(shared + own[lang], 15)), lang) for i in range(240) for lang in [list(own)[i % 3]]] + [(500, "seldom", "aa")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), least_count=3)
+    assert model.languages == list(own)
+
+    def grams(text):
+        t = f" {' '.join(text.lower().split())} "
+        return [t[i : i + 4] for i in range(len(t) - 3)]
+
+    counts = {lang: Counter(g for i, t, x in rows if x == lang and zlib.crc32(str(i).encode()) % 5 for g in grams(t)) for lang in own}
+    members = {lang: {g for g, n in c.items() if n >= 3} for lang, c in counts.items()}
+    key = lambda g: langid.grams_of(np.array([ord(c) for c in g], np.uint32))
+    every = sorted(set().union(*members.values()))
+    assert sum(all(g in m for m in members.values()) for g in every) >= 15
+    looked = [int(model.masks(key(g))[0]) for g in every]
+    wanted = [sum(1 << k for k, lang in enumerate(own) if g in members[lang]) for g in every]
+    assert all(a & b == b for a, b in zip(looked, wanted, strict=True)) and np.mean([a != b for a, b in zip(looked, wanted, strict=True)]) < 0.05
+    for i, text, lang in rows[:240]:
+        exact = {x: sum(g in members[x] for g in grams(text)) for x in own}
+        got, score = model.predict(text)
+        assert got == lang or exact[got] >= exact[lang] - 1
+        assert abs(score - exact[got] / sum(exact.values())) < 0.1
+
+
 def test_bit_sliced_filters_correct_false_positives():
     r = np.random.default_rng(5)
     grams = r.integers(0, 1 << 62, 20_000).astype(np.uint64)
@@ -316,6 +343,33 @@ def test_token_counts_and_cache(spark, tmp_path):
     assert tokens.count_tokens(docs_of(spark, ["x"]).limit(0), path, cache).collect() == []
 
 
+@pytest.mark.parametrize("broadcast_bytes", [common.BROADCAST_BYTES, 0])
+def test_token_counts_encode_distinct_misses_only(spark, tmp_path, broadcast_bytes):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, cache = public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/cache"
+    own = Tokenizer.from_file(path)
+    texts = [f"text number {i % 70}" for i in range(300)] + [None, "", "hot text"]
+    d = docs_of(spark, texts).unionByName(docs_of(spark, ["hot text"] * 200).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs_of(spark, ["hot text", "odd"] * 2).withColumn("doc_id", F.lit(9).cast("long")))
+    run = lambda x: sorted(map(tuple, tokens.count_tokens(x, path, cache, broadcast_bytes=broadcast_bytes).collect()), key=repr)
+    count = lambda t: (len((t or "").encode()), len(own.encode(t or "", add_special_tokens=False).ids), False)
+    want = sorted([(r.doc_id, *count(r.text)) for r in d.collect()], key=repr)
+    assert run(d) == want
+    assert spark.read.parquet(cache).count() == len({t or "" for t in texts} | {"odd"})
+    warm = docs_of(spark, ["one more text"], 1000)
+    assert run(d.unionByName(warm)) == sorted([*want, (1000, *count("one more text"))], key=repr)
+    assert spark.read.parquet(cache).count() == len({t or "" for t in texts} | {"odd"}) + 1
+    chosen = []
+    whole = tokens._chosen
+    try:
+        tokens._chosen = lambda *a: chosen.append(a[2].count()) or whole(*a)
+        assert run(d) == want
+    finally:
+        tokens._chosen = whole
+    assert chosen == [0]  # a warm cache reads no text again for encoding
+
+
 def test_pieces_keep_the_tokens():
     import public_tokenizers
     from tokenizers import Tokenizer
