@@ -104,7 +104,7 @@ def token_line(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
 
 def mix(docs: DataFrame, block: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
-    """docs: doc_id, source, text. Returns a row for each: doc_id, source, size, source_size, target, taken, n_slots (that hold words of it)."""
+    """docs: doc_id, source, text. Returns a row for each: doc_id, source, size, source_size, target, taken, first_slot (null if nothing is taken), n_slots (that hold words of it)."""
     spark = docs.sparkSession
     sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     targets = stored(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs).coalesce(1), "mix-targets")
@@ -115,15 +115,15 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, weights: tuple[int, ...] = WE
     whole = laid.join(F.broadcast(per_source) if targets.count() * 64 <= BROADCAST_BYTES else per_source, F.col("source").eqNullSafe(F.col("s")))
     epochs = whole.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1)))).withColumn("at", F.col("epoch") * F.col("source_size") + F.col("start"))
     cut = epochs.withColumn("piece", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))))
-    met = cut.select("n", "source", "piece", "at", "size").join(slots.select(F.col("source").alias("ss"), "rank", "first", "last"), F.col("source").eqNullSafe(F.col("ss")) & (F.col("piece") == F.col("rank")))
+    met = cut.select("n", "source", "piece", "at", "size").join(slots.select(F.col("source").alias("ss"), "slot", "rank", "first", "last"), F.col("source").eqNullSafe(F.col("ss")) & (F.col("piece") == F.col("rank")))
     words = F.least(F.col("last"), F.col("at") + F.col("size")) - F.greatest(F.col("first"), F.col("at"))
-    taken = met.withColumn("words", words).where("words > 0").groupBy("n").agg(F.sum("words").alias("taken"), F.count("*").alias("n_slots"))
+    taken = met.withColumn("words", words).where("words > 0").groupBy("n").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_slots"))
     out = whole.join(taken, "n", "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"))
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 OP8_SQL = r"""
@@ -139,9 +139,23 @@ o AS (SELECT *, CASE WHEN (total - cap_before) * w <= cap * w_left THEN k END AS
 l AS (SELECT *, min(own) OVER () AS open FROM o),
 v AS (SELECT *, max(CASE WHEN k = open THEN CAST(total - cap_before AS DOUBLE) / w_left END) OVER () AS level FROM l),
 t AS (SELECT source, source_size, CASE WHEN open IS NULL OR k < open THEN CAST(cap AS DOUBLE) ELSE least(level * w, CAST(cap AS DOUBLE)) END AS target FROM v),
-x AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('mix:' || CAST(doc_id AS VARCHAR)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d)
+x AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('mix:' || CAST(doc_id AS VARCHAR)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d),
+p AS (SELECT source, source_size, CAST(round(target) AS BIGINT) AS words FROM t WHERE source_size > 0),
+q AS (SELECT *, CAST(sum(words) OVER (ORDER BY source NULLS LAST) AS BIGINT) AS high, CAST(sum(words) OVER () AS BIGINT) AS total FROM p),
+c AS (SELECT coalesce(CAST(ceil(max(total) / 4096) AS BIGINT), 0) AS n FROM q),
+g AS (SELECT range AS slot, ((range + CAST(0.5 AS DOUBLE)) * CAST('0.6180339887498949' AS DOUBLE)) % CAST(1 AS DOUBLE) AS u FROM range((SELECT n FROM c))),
+h AS (SELECT slot, source, words, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
+        FROM g JOIN q ON u >= CAST(high - words AS DOUBLE) / total AND u < CAST(high AS DOUBLE) / total),
+k AS (SELECT q.source, q.words, count(h.slot) AS n FROM q LEFT JOIN h ON q.source IS NOT DISTINCT FROM h.source GROUP BY q.source, q.words),
+z AS (SELECT slot, source, rank, words FROM h WHERE rank * 4096 < words
+      UNION ALL SELECT c.n + rank, source, rank, words FROM (SELECT source, words, unnest(range(n, (words - 1) // 4096 + 1)) AS rank FROM k WHERE n * 4096 < words), c),
+e AS (SELECT x.doc_id, x.source, x.size, e.range * p.source_size + x.start AS place FROM x JOIN p ON x.source IS NOT DISTINCT FROM p.source, range(3) e WHERE x.size > 0),
+b AS (SELECT *, unnest(range(place // 4096, (place + size - 1) // 4096 + 1)) AS piece FROM e),
+m AS (SELECT b.doc_id, min(z.slot) AS first_slot, count(*) AS n_slots FROM b JOIN z ON b.source IS NOT DISTINCT FROM z.source AND b.piece = z.rank
+        WHERE least((z.rank + 1) * 4096, z.words, b.place + b.size) > greatest(z.rank * 4096, b.place) GROUP BY b.doc_id)
 SELECT x.doc_id, x.size, t.source_size, t.target,
   CASE WHEN t.source_size = 0 THEN 0 ELSE CAST(floor(round(t.target) / t.source_size) AS BIGINT) * x.size
-    + greatest(0, least(x.start + x.size, CAST(round(t.target) AS BIGINT) % t.source_size) - x.start) END AS taken
-FROM x JOIN t ON x.source IS NOT DISTINCT FROM t.source
+    + greatest(0, least(x.start + x.size, CAST(round(t.target) AS BIGINT) % t.source_size) - x.start) END AS taken,
+  m.first_slot, coalesce(m.n_slots, 0) AS n_slots
+FROM x JOIN t ON x.source IS NOT DISTINCT FROM t.source LEFT JOIN m ON x.doc_id = m.doc_id
 """
