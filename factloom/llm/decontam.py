@@ -19,7 +19,6 @@ other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +30,8 @@ from .common import read_table, text_list
 WINDOW_WORDS, SHINGLE_WORDS = 10, 4
 #: Bytes of item texts that go to the executors at once.
 BLOCK_BYTES = 8 << 20
+#: Candidates of a text that are compared at once, about.
+CANDIDATES = 1 << 16
 _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _TABLE = bytes(c if c in _KEEP else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -45,30 +46,50 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingle_hashes(ids: np.ndarray, k: int) -> np.ndarray:
-    """A hash for each k consecutive numbers; only used to find candidates."""
-    h = np.zeros(len(ids) - k + 1, np.uint64)
+    """A hash for each k consecutive numbers (or rows of them); only used to find candidates."""
+    h = np.zeros((len(ids) - k + 1, *ids.shape[1:]), np.uint64)
     for i in range(k):
         h = _mix(h * np.uint64(0xBF58476D1CE4E5B9) + ids[i : len(ids) - k + 1 + i].astype(np.uint64))
     return h
 
 
 class ItemIndex:
-    """Windows of a block of items by their rarest shingle."""
+    """Distinct windows of a block of items by their rarest shingle, as arrays: about 120 bytes a window while it is built, 60 after."""
 
     def __init__(self, items: list[tuple[int, str]], window_words: int = WINDOW_WORDS, shingle_words: int = SHINGLE_WORDS):
         self.vocabulary: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[int]] = defaultdict(set)
+        self.items = sorted({item for item, _ in items if item is not None})
+        number = {item: i for i, item in enumerate(self.items)}
+        rows, owners = [np.zeros((0, window_words), np.int32)], [np.zeros(0, np.int64)]
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text or "")]
-            n = min(window_words, len(ids))
-            for at in range(len(ids) - n + 1 if n else 0):
-                windows[tuple(ids[at : at + n])].add(item)
-        self.windows = [(np.array(w, np.int64), sorted(x for x in items if x is not None), w) for w, items in windows.items()]
-        self.shingles: dict[int, list[np.ndarray]] = defaultdict(list)
-        self.k = [min(shingle_words, len(w)) for w, _, _ in self.windows]
-        self.own = [shingle_hashes(w, k) for (w, _, _), k in zip(self.windows, self.k, strict=True)]
-        #: Sorted hashes of all shingles of each length, to be counted in the documents.
-        self.all = {k: np.unique(np.concatenate([h for h, x in zip(self.own, self.k, strict=True) if x == k])) for k in set(self.k)}
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text or "")], np.int32)
+            if n := min(window_words, len(ids)):
+                own = np.zeros((len(ids) - n + 1, window_words), np.int32)
+                own[:, :n] = np.lib.stride_tricks.sliding_window_view(ids, n)
+                rows.append(own)
+                owners.append(np.full(len(own), number.get(item, -1), np.int64))
+        #: A row of word numbers for each distinct window; 0 after the end of a short one.
+        self.words, of = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.n = (self.words > 0).sum(1)
+        self.k = np.minimum(shingle_words, self.n)
+        # The owners of window w are owners[first_owner[w]:first_owner[w + 1]]; items without an id own nothing.
+        owner, many = np.concatenate(owners), len(self.items) + 1
+        pairs = np.unique(of.ravel()[owner >= 0] * many + owner[owner >= 0])
+        self.owners = (pairs % many).astype(np.int32)
+        self.first_owner = np.searchsorted(pairs // many, np.arange(len(self.words) + 1))
+        #: The windows' shingles, and the sorted hashes of all shingles of each length, to be counted in the documents.
+        self.own = np.zeros((len(self.words), max(1, window_words - shingle_words + 1)), np.uint64)
+        for n in np.unique(self.n):
+            at, k = self.n == n, min(shingle_words, n)
+            self.own[at, : n - k + 1] = shingle_hashes(self.words[at].T, k)[: n - k + 1].T
+        self.all = {int(k): np.unique(self.own[self._shingles(self.k == k)]) for k in np.unique(self.k)}
+
+    def _shingles(self, of: np.ndarray) -> np.ndarray:
+        """Which cells of own are shingles of these windows."""
+        return of[:, None] & (np.arange(self.own.shape[1]) <= (self.n - self.k)[:, None])
+
+    def __getstate__(self) -> dict:
+        return {name: value for name, value in self.__dict__.items() if name != "own"}
 
     def ids(self, text: str) -> np.ndarray:
         get = self.vocabulary.get
@@ -98,28 +119,47 @@ class ItemIndex:
         hit = wanted[to] == h
         return at[hit], to[hit]
 
-    def order_by_rarity(self, counts: dict[int, dict[int, int]]) -> None:
-        """Choose each window's rarest shingle (ties: the first); counts: of each length, hash (as signed) to occurrences."""
-        prefix: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for n, (hashes, k) in enumerate(zip(self.own, self.k, strict=True)):
-            seen = [counts.get(k, {}).get(x, 0) for x in hashes.view(np.int64).tolist()]
-            at = seen.index(min(seen))
-            if seen[at]:  # a window with a shingle that no document has occurs nowhere
-                prefix[k][int(hashes[at])].append((n, at))
-        self.prefix = {k: (np.array(sorted(p), np.uint64), [p[h] for h in sorted(p)]) for k, p in prefix.items()}
+    def order_by_rarity(self, counts: dict[int, np.ndarray]) -> None:
+        """Choose each window's rarest shingle (ties: the first); counts: of each length, occurrences of the hashes in all."""
+        seen = np.full(self.own.shape, np.iinfo(np.int64).max)
+        for k, hashes in self.all.items():
+            cells = self._shingles(self.k == k)
+            seen[cells] = counts[k][np.searchsorted(hashes, self.own[cells])]
+        offset, every = seen.argmin(1), np.arange(len(seen))
+        occurs = seen[every, offset] > 0  # a window with a shingle that no document has occurs nowhere
+        #: Of each length: sorted prefix hashes, the first entry of each, and windows and offsets as entries.
+        self.prefix = {}
+        for k in self.all:
+            windows = np.flatnonzero(occurs & (self.k == k))
+            h = self.own[windows, offset[windows]]
+            order = np.argsort(h, kind="stable")
+            hashes, first = np.unique(h[order], return_index=True)
+            if len(hashes):
+                self.prefix[k] = hashes, np.append(first, len(h)), windows[order].astype(np.int32), offset[windows][order].astype(np.int32)
         del self.own, self.all
 
     def match(self, ids: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
         """Spans of occurring windows, and their items."""
-        spans, items = [], set()
-        for k, (hashes, entries) in self.prefix.items():
-            for at, to in zip(*(x.tolist() for x in self.found(ids, k, hashes)), strict=True):
-                for n, offset in entries[to]:
-                    window, owners, _ = self.windows[n]
-                    begin = at - offset
-                    if begin >= 0 and begin + len(window) <= len(ids) and np.array_equal(ids[begin : begin + len(window)], window):
-                        spans.append((begin, begin + len(window)))
-                        items.update(owners)
+        spans, windows = [], []
+        for k, (hashes, first, entries, offsets) in self.prefix.items():
+            at, to = self.found(ids, k, hashes)
+            many = first[to + 1] - first[to]
+            parts = np.flatnonzero(np.diff(np.cumsum(many) // CANDIDATES)) + 1  # candidates compared at once are bounded
+            for part in np.split(np.arange(len(at)), parts) if len(at) else []:
+                some, ends = many[part], np.cumsum(many[part])
+                entry = np.repeat(first[to[part]] - ends + some, some) + np.arange(ends[-1])
+                window, begin = entries[entry], np.repeat(at[part], some) - offsets[entry]
+                fits = (begin >= 0) & (begin + self.n[window] <= len(ids))
+                window, begin = window[fits], begin[fits]
+                place = np.arange(self.words.shape[1])
+                equal = ids[np.minimum(begin[:, None] + place, len(ids) - 1)] == self.words[window]
+                same = (equal | (place >= self.n[window][:, None])).all(1)
+                window, begin = window[same], begin[same]
+                spans += zip(begin.tolist(), (begin + self.n[window]).tolist(), strict=True)
+                windows.append(np.unique(window))
+        items: set[int] = set()
+        for w in np.unique(np.concatenate(windows)).tolist() if windows else []:
+            items.update(self.items[i] for i in self.owners[self.first_owner[w] : self.first_owner[w + 1]])
         return spans, items
 
 
@@ -193,12 +233,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window_words: int = WIN
     rows = docs.select("doc_id", "text")
     for b in range(n_blocks):
         index = ItemIndex([(r["item_id"], r["text"]) for r in items.where(block == b).toLocalIterator()], window_words, shingle_words)
-        counts: dict[int, dict[int, int]] = defaultdict(dict)
-        if index.windows:
+        counts = {k: np.zeros(len(h), np.int64) for k, h in index.all.items()}
+        if len(index.words):
             shared = spark.sparkContext.broadcast(index)
             # Bounded by the shingles of the block.
-            for r in docs.select("text").mapInArrow(_count(shared), "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n")).toLocalIterator():
-                counts[r["k"]][r["h"]] = r["n"]
+            got = docs.select("text").mapInArrow(_count(shared), "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n")).toPandas()
+            for k, rows_of_k in got.groupby("k"):
+                counts[k][np.searchsorted(index.all[k], rows_of_k["h"].to_numpy(np.int64).view(np.uint64))] = rows_of_k["n"]
         index.order_by_rarity(counts)
         last = b == n_blocks - 1
         rows = rows.mapInArrow(_match(spark.sparkContext.broadcast(index), b == 0, last), result if last else f"doc_id {kind}, text string, {held}")

@@ -1,6 +1,7 @@
 """Small tables with nulls, empty and long texts, ties, repeated rows, no rows, and extra columns of clashing names."""
 
 import hashlib
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -323,6 +324,18 @@ def test_decontamination_against_brute_force(spark):
             assert got[i].items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
+def test_a_large_block_of_the_benchmark_stays_small():
+    r = np.random.default_rng(2)
+    items = [(i, " ".join(map(str, r.integers(0, 30_000, 600)))) for i in range(1200)] + [(7, "5 6 7"), (None, "5 6 7"), (8, "5 6 7"), (9, "1"), (9, "")]
+    index = decontam.ItemIndex(items)
+    index.order_by_rarity({k: np.ones(len(h), np.int64) for k, h in index.all.items()})
+    assert len(index.words) > 700_000 and len(pickle.dumps(index)) < 100 << 20
+    text = items[5][1].split()
+    for words, spans, found in ((text[20:31], [(0, 10), (1, 11)], {5}), (text[20:29], [], set()), (["x", "5", "6", "7", "1"], [(1, 4), (4, 5)], {7, 8, 9}), ([], [], set())):
+        got = index.match(index.ids(" ".join(words)))
+        assert (sorted(got[0]), got[1]) == (spans, found)
+
+
 # Token counts
 
 
