@@ -9,7 +9,8 @@ positives) are found by passing the table itself through the filters, so answers
 A line's key: the line stripped of ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased. Lines whose keys have at least
 min_chars code points and occur in at least min_docs documents lose all their occurrences.
 
-A filter that a change overfills is built anew, larger, from the table.
+A filter that a change overfills is built anew, larger, from the table. Filters too large to broadcast stay where they are, and
+the digests of lines go to them by shard.
 
 Defined cases: null or empty text is one empty line, and stays; an empty key is never dropped; a very long text is split whole,
 and its result is one row; a key counts once for each row that holds it (rows repeated in the table are documents of their
@@ -27,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, read_table, stored, text_list
+from .common import BROADCAST_BYTES, key_filter, read_table, stored, text_list
 
 SLOTS, KICKS = 4, 500
 #: Keys of a shard's filter, about; the number of shards follows the number of keys.
 KEYS_PER_SHARD = 1 << 16
 SHARDS = 1 << 20
+#: Rows that one copy of a shard's filter answers, about.
+ROWS_PER_TASK = 1 << 22
 REFS_SCHEMA = "h1 long, h2 long, refs long"
 
 
@@ -231,17 +234,17 @@ def _probe(filters: dict[int, bytes], n_shards: int, denied: set[tuple[int, int]
 def drop_common_lines(docs: DataFrame, refs: DataFrame, min_docs: int = 10, min_chars: int = 1, with_text: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs: doc_id, text; refs: their reference counts, written. Returns doc_id, n_lines, n_dropped, kept_sha256 and, if asked, kept_text.
 
-    The filters go to all executors if their size, known before, is within broadcast_bytes. Beyond it, the digests of
-    each distinct text's lines are joined with the table instead.
+    The filters go to all executors if their size, known before, is within broadcast_bytes, and so do the keys that they
+    report wrongly. Beyond it, lines' digests go to the shards' filters.
     """
     spark, rows = docs.sparkSession, docs.select("doc_id", "text")
     names = "n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * with_text
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, {names}"
     n_hot = refs.where(F.col("refs") >= min_docs).count()
     n_shards = max(1, min(SHARDS, n_hot // KEYS_PER_SHARD))
-    if n_hot * 8 > broadcast_bytes:  # 2 bytes a slot, at worst a quarter of them full
-        return _drop_by_join(rows, refs, min_docs, min_chars, with_text, schema)
     filters = stored(build_filters(refs, min_docs, n_shards), "line-filters")
+    if n_hot * 8 > broadcast_bytes:  # 2 bytes a slot, at worst a quarter of them full
+        return _drop_by_shard(rows, refs, filters, n_hot, n_shards, min_docs, min_chars, with_text, schema)
     tables = {r["shard"]: bytes(r["table"]) for r in filters.toLocalIterator()}
     shared = spark.sparkContext.broadcast(tables)
 
@@ -254,7 +257,7 @@ def drop_common_lines(docs: DataFrame, refs: DataFrame, min_docs: int = 10, min_
     wrong = stored(refs.where(F.col("refs") < min_docs).select("h1", "h2").mapInArrow(false_positives, "h1 long, h2 long"), "line-false-positives")
     n_wrong = wrong.count()
     if n_wrong * 200 > broadcast_bytes:
-        return _drop_by_join(rows, refs, min_docs, min_chars, with_text, schema)
+        return _drop_by_shard(rows, refs, filters, n_hot, n_shards, min_docs, min_chars, with_text, schema)
     denied = spark.sparkContext.broadcast({(r["h1"], r["h2"]) for r in wrong.toLocalIterator()})
 
     def drop(batches):
@@ -263,35 +266,83 @@ def drop_common_lines(docs: DataFrame, refs: DataFrame, min_docs: int = 10, min_
     return rows.mapInArrow(drop, schema)
 
 
-def _drop_by_join(rows: DataFrame, refs: DataFrame, min_docs: int, min_chars: int, with_text: bool, schema: str) -> DataFrame:
-    """The way for more common keys than may be broadcast: each distinct text's hot keys come to it by a shuffle."""
+def _answer(batches):
+    """Rows by shard and salt, the filter first. Yields the owners and digests that the filter reports and does not deny."""
+    held, is_hot = None, None
+    for batch in batches:
+        at = np.stack([batch.column("shard").to_numpy(), batch.column("salt").to_numpy()], 1)
+        tables, denied = batch.column("table"), batch.column("denied")
+        digests = np.stack([batch.column(c).fill_null(0).to_numpy() for c in ("h1", "h2")], 1)
+        out, asked = np.zeros(len(at), bool), ~tables.is_valid().to_numpy(zero_copy_only=False)
+        # Runs of rows that one filter answers begin with its own row, or with the batch.
+        begins = np.unique(np.append(np.flatnonzero(~asked), 0))
+        for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(at)], strict=True):
+            if not asked[begin]:
+                wrong = np.frombuffer(denied[begin].as_py() or b"", np.int64).reshape(-1, 2).tolist()
+                held, is_hot = at[begin].tolist(), _probe({0: tables[begin].as_py()}, 1, set(map(tuple, wrong)))
+            mine = begin + np.flatnonzero(asked[begin:end] & (at[begin:end] == held).all(1)) if held else []
+            if len(mine):  # rows of a shard without a filter follow some other shard's, and have no hot key
+                out[mine] = is_hot(digests[mine])
+        yield batch.select(["owner", "h1", "h2"]).filter(pa.array(out))
+
+
+def ask_filters(filters: DataFrame, asked: DataFrame, loads: DataFrame, n_shards: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """filters: shard, table, denied; asked: owner, h1, h2; loads: shard, n, the rows that will ask it. Returns the rows with a hot key.
+
+    Digests and filters meet in one exchange, and a task streams them past one filter at a time. A shard that more than
+    rows_per_task rows ask (a line that very many documents share) has as many copies of its filter as that takes.
+    """
+    copies = F.broadcast(loads.select("shard", F.ceil(F.col("n") / rows_per_task).cast("int").alias("copies")).where("copies > 1"))  # at most SHARDS rows
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("salt")
+    none = F.lit(None)
+    answering = filters.join(copies, "shard", "left").select("shard", salts, "table", "denied", none.cast("binary").alias("owner"), none.cast("long").alias("h1"), none.cast("long").alias("h2"))
+    salt = F.pmod(F.xxhash64("owner", "h1", "h2"), F.coalesce("copies", F.lit(1))).cast("int").alias("salt")
+    asking = asked.withColumn("shard", shard_of(n_shards)).join(copies, "shard", "left").select("shard", salt, none.cast("binary").alias("table"), none.cast("binary").alias("denied"), "owner", "h1", "h2")
+    met = answering.unionByName(asking).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("table").isNull())
+    return met.mapInArrow(_answer, "owner binary, h1 long, h2 long")
+
+
+def _drop_by_shard(rows: DataFrame, refs: DataFrame, filters: DataFrame, n_hot: int, n_shards: int, min_docs: int, min_chars: int, with_text: bool, schema: str) -> DataFrame:
+    """The way for filters that may not be broadcast: digests go to the filters by shard, hot ones come back to their texts by a shuffle."""
 
     def digests(batches):
         for batch in batches:
             owners, found = [], []
-            for text in text_list(batch.column("text")):
+            for text in set(text_list(batch.column("text"))):
                 raw = text.encode("utf-8", "surrogatepass")
-                owner = hashlib.sha256(raw).digest()
-                for key in set(map(line_key, raw.split(b"\n"))) - {b""}:
-                    owners.append(owner)
-                    found.append(key_digest(key))
+                keys = set(map(line_key, raw.split(b"\n"))) - {b""}
+                owners += [hashlib.sha256(raw).digest()] * len(keys)
+                found += map(key_digest, keys)
             h = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(owners, pa.binary()), pa.array(h[:, 0]), pa.array(h[:, 1])], ["owner", "h1", "h2"])
 
-    lines = rows.select("text").mapInArrow(digests, "owner binary, h1 long, h2 long").distinct()
-    hot = lines.join(refs.where(F.col("refs") >= min_docs), ["h1", "h2"], "left_semi")
+    def deny(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"shard": [key[0]], "denied": [np.ascontiguousarray(held[["h1", "h2"]].to_numpy(np.int64)).tobytes()]})
+
+    shard = shard_of(n_shards).alias("shard")
+    cold = refs.where(F.col("refs") < min_docs).select(F.lit(None).cast("binary").alias("owner"), "h1", "h2")
+    empty = filters.withColumn("denied", F.lit(None).cast("binary"))
+    wrong = ask_filters(empty, cold, stored(refs.groupBy(shard).agg(F.count("*").alias("n")), "line-loads"), n_shards)
+    wrong = wrong.withColumn("shard", shard).groupBy("shard").applyInPandas(deny, "shard int, denied binary")
+    known = stored(filters.join(wrong, "shard", "left"), "line-denials")
+
+    lines = rows.select("text").mapInArrow(digests, "owner binary, h1 long, h2 long")
+    among = key_filter(refs.where(F.col("refs") >= min_docs).select("h2"), n_hot)
+    if among is not None:  # digests of lines that cannot be hot need no exchange
+        lines = lines.where(among(F.col("h2")))
+    hot = ask_filters(known, lines, stored(refs.groupBy(shard).agg(F.sum("refs").alias("n")), "line-loads"), n_shards)
     # A text's hot keys are bounded by the text.
-    hot = hot.groupBy("owner").agg(F.collect_list(F.struct("h1", "h2")).alias("hot"))
+    hot = hot.groupBy("owner").agg(F.collect_set(F.struct("h1", "h2")).alias("hot"))
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     met = rows.withColumn("owner", F.unhex(F.sha2(raw, 256))).join(hot, "owner", "left").select("doc_id", "text", "hot")
 
     def drop(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                held = {(x["h1"], x["h2"]) for x in one.column("hot")[0].as_py() or ()}
-                is_hot = lambda h, held=held: np.array([(int(a), int(b)) in held for a, b in h.tolist()], bool)
-                yield from _drop_lines(is_hot, min_chars, with_text)([one])
+            # A key is hot in every text, so a batch needs one set of them.
+            h1, h2 = batch.column("hot").flatten().flatten()
+            held = set(zip(h1.to_pylist(), h2.to_pylist(), strict=True))
+            is_hot = lambda h, held=held: np.array([(a, b) in held for a, b in h.tolist()], bool)
+            yield from _drop_lines(is_hot, min_chars, with_text)([batch])
 
     return met.mapInArrow(drop, schema)
 

@@ -92,6 +92,39 @@ def test_lines_by_threshold_and_both_ways(spark):
         assert (got[13].n_lines, got[13].n_dropped) == (1, 0)
 
 
+def test_lines_meet_filters_by_shard(spark, monkeypatch):
+    """Filters that are not broadcast: several shards, keys reported wrongly, and a line that all texts share."""
+    monkeypatch.setattr(linededup, "KEYS_PER_SHARD", 4)
+    texts = ["\n".join([f"own {i}", *(f"of {m}: {i % m}" for m in range(2, 9)), "everywhere", f"own {i}"]) for i in range(150)] + [None, "", "everywhere"]
+    d = docs_of(spark, texts)
+    refs = linededup.reference_counts(d)
+    count = Counter(k for t in texts for k in {x.strip().lower() for x in (t or "").split("\n")} if k)
+    got = by_id(linededup.drop_common_lines(d, refs, with_text=True, broadcast_bytes=0))
+    for i, t in enumerate(texts):
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if count[x.strip().lower()] < 10]
+        assert (got[i].kept_text, got[i].n_lines, got[i].n_dropped) == ("\n".join(kept), len(lines), len(lines) - len(kept))
+
+
+def test_filters_answer_by_shard_in_copies(spark):
+    r = np.random.default_rng(7)
+    hot, cold = (np.stack([r.integers(0, 1 << 62, n), r.integers(0, 1 << 62, n)], 1) for n in (600, 9000))
+    cold[:50, 1] = hot[:50, 1]  # what the filters of their shards report wrongly, where the shard is the same
+    cold[:50, 0] = hot[:50, 0] + 3
+    held = [tuple(map(int, x)) for x in hot[:590]]  # the last shard's keys are not hot
+    held = [h for h in held if h[0] % 3 != 2]
+    refs = spark.createDataFrame([(*h, 10) for h in held], linededup.REFS_SCHEMA)
+    denied = np.ascontiguousarray(cold[:50]).tobytes()
+    filters = linededup.build_filters(refs, 10, 3).withColumn("denied", F.lit(denied))
+    asked = [(b"o%d" % (i % 7), int(a), int(b)) for i, (a, b) in enumerate(np.concatenate([hot, hot, cold[:50], hot[:1].repeat(500, 0)]))]
+    rows = spark.createDataFrame(asked, "owner binary, h1 long, h2 long")
+    loads = rows.groupBy(linededup.shard_of(3).alias("shard")).agg(F.count("*").alias("n"))
+    want = Counter((o, a, b) for o, a, b in asked if (a, b) in set(held))
+    for rows_per_task in (1 << 20, 100):
+        got = linededup.ask_filters(filters, rows, loads, 3, rows_per_task).collect()
+        assert Counter((bytes(x.owner), x.h1, x.h2) for x in got) == want
+
+
 def test_line_dedup_is_reversible(spark):
     a, b = docs_of(spark, [f"shared\n{i}" for i in range(9)]), docs_of(spark, ["shared\nnew", "SHARED "], 50)
     table = lambda df: sorted(map(tuple, df.select("h1", "h2", "refs").collect()))
