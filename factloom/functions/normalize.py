@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import bound, collapsed, matches, non_empty, trimmed
 
@@ -186,6 +187,31 @@ def by_target(target: Column, value: Column, default_region: str | None = None,
     )
 
 
+# The keys of a record that its target normalises; its other keys stay.
+OWN_KEYS = {"skill": ["name"], "country": ["country"], "phone": ["phone", "phones"], "date": ["start", "end", "from", "to", "date"]}
+# End of fixed values.
+
+
+def by_target_within(target: Column, value: Column, kind: T.DataType, default_region: str | None = None, synonyms: Mapping[str, str] = SKILLS) -> Column:
+    """As by_target, for a value of any type: lists item by item, records and maps under the target's own keys only,
+    so that what lies under other keys stays.
+
+    What a normaliser may reach becomes text; without a target it is the value's text. Null lists, records and maps stay null.
+    """
+    inner = lambda t, v, k: by_target_within(t, v, k, default_region, synonyms)
+    owner = {key: t for t, keys in OWN_KEYS.items() for key in keys}
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: inner(target, x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        fields = [inner(F.when(target == owner[f.name], target), value[f.name], f.dataType) if f.name in owner else value[f.name] for f in kind]
+        return F.when(value.isNotNull(), F.struct(*(x.alias(f.name) for x, f in zip(fields, kind, strict=True))))
+    if isinstance(kind, T.MapType):
+        owners = F.create_map(*(F.lit(x) for pair in owner.items() for x in pair))
+        own = lambda k: F.when(F.get(F.map_values(F.map_filter(owners, lambda o, _: o == k)), F.lit(0)) == target, target)
+        return F.transform_values(value, lambda k, x: inner(own(k), x, kind.valueType))
+    return by_target(target, value.cast("string"), default_region, synonyms)
+
+
 # Spellings of the directives of a projection, lower case.
 DIRECTIVES = {"e164": "E164", "yyyy-mm": "YYYY-MM", "iso-3166-alpha-2": "ISO-3166-alpha-2", "iso3166alpha2": "ISO-3166-alpha-2", "canonical": "canonical"}
 # End of fixed values.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as ECMAScript counts it (wider than Java's class and than trim()).
 WS = r"[\t\n\x0B\f\r\u0020\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
@@ -69,9 +70,35 @@ def match_path(path: Column) -> Column:
     return trimmed(F.lower(F.replace(F.regexp_replace(path, r"\[[0-9]+\]", "[]"), F.lit("_"), F.lit(""))))
 
 
-def serialised(value: Column) -> Column:
-    """A scalar's stable text; null is `null`."""
-    return F.coalesce(value.cast("string"), F.lit("null"))
+def serialised(value: Column, kind: T.DataType = T.StringType()) -> Column:
+    """A value's stable text: null is `null`, lists are `[a,b]`, records and maps `{k:v}` in the order of their keys, nothing is quoted.
+
+    A record's null fields count as null, since records have no absent ones; whole numbers of doubles have no point.
+    """
+    if isinstance(kind, T.ArrayType):
+        found = _joined("[", F.transform(value, lambda x: serialised(x, kind.elementType)), "]")
+    elif isinstance(kind, T.StructType):
+        # Lower case before upper case, as the collation of the maps' keys has it.
+        names = sorted(kind.fieldNames(), key=lambda n: (n.lower(), n.swapcase()))
+        found = F.when(value.isNotNull(), _joined("{", F.array(*(_entry(F.lit(n), value[n], kind[n].dataType) for n in names)), "}"))
+    elif isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(F.collate(e["key"].cast("string"), "UNICODE").alias("place"), e["key"].cast("string").alias("key"), e["value"].alias("value")))
+        in_order = F.array_sort(entries, lambda x, y: F.when(x["place"] < y["place"], F.lit(-1)).when(x["place"] > y["place"], F.lit(1)).otherwise(F.lit(0)))
+        found = _joined("{", F.transform(in_order, lambda e: _entry(e["key"], e["value"], kind.valueType)), "}")
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
+        found = F.when(whole, value.cast("long").cast("string")).otherwise(value.cast("string"))
+    else:
+        found = value.cast("string")
+    return F.coalesce(found, F.lit("null"))
+
+
+def _entry(key: Column, value: Column, kind: T.DataType) -> Column:
+    return F.concat(key, F.lit(":"), serialised(value, kind))
+
+
+def _joined(begin: str, texts: Column, end: str) -> Column:
+    return F.concat(F.lit(begin), F.array_join(texts, ","), F.lit(end))
 
 
 def to_number(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import SKILLS as SKILL_NAMES
-from ..functions.normalize import by_target, target_of
+from ..functions.normalize import by_target_within, target_of
 from ..functions.text import NO_TEXTS, WS, bound, collapsed, distinct_ignoring_case, matches, non_empty, trimmed, utf16_length
 from ..shared import settled
 from ..sources.records import error
@@ -186,5 +186,5 @@ def collect_facts(*facts: DataFrame) -> DataFrame:
 
 
 def normalize_facts(facts: DataFrame, default_region: str | None = None, synonyms: Mapping[str, str] = SKILL_NAMES) -> DataFrame:
-    """Each value under the normaliser that its path calls for; the original stays."""
-    return facts.withColumn("value", by_target(target_of(F.col("field_path")), F.col("value"), default_region, synonyms))
+    """Each value, of any type, under the normaliser that its path calls for; the original stays."""
+    return facts.withColumn("value", by_target_within(target_of(F.col("field_path")), F.col("value"), facts.schema["value"].dataType, default_region, synonyms))

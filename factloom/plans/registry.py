@@ -514,6 +514,34 @@ def normalise_facts(spark, sf_dir):
     return extract.normalize_facts(facts).select("candidate_key", "fact_id", "original_value", "value")
 
 
+_WITHIN = ["skills", "phones[]", "location.country", "experience[0].start", "headline"]
+
+
+@query(rf"""WITH t AS (SELECT o_custkey, o_orderkey, o_orderkey % 5 AS k, strftime(o_orderdate, '%m/%d/%Y') AS d, strftime(o_orderdate, '%Y-%m') AS m FROM orders)
+SELECT CAST(o_custkey AS VARCHAR) AS candidate_key, 'f:' || CAST(o_orderkey AS VARCHAR) AS fact_id,
+  '[{{country:' || CASE k WHEN 2 THEN 'IN' ELSE 'India' END || ',date:' || CASE k WHEN 3 THEN m ELSE d END || ',level:3,name:' || CASE k WHEN 0 THEN 'TypeScript' ELSE 'ts' END
+  || ',phones:[' || CASE k WHEN 1 THEN '+14155552671,null' ELSE '+1 (415) 555-2671,x' END || '],Tags:{{a:' || CAST(o_orderkey AS VARCHAR) || ',name:js}}}},null]' AS value
+FROM t""")
+def normalise_nested(spark, sf_dir):
+    """Lists of records with lists and maps inside, normalised (under the target's own keys only), then serialised."""
+    k = F.col("o_orderkey")
+    tags = F.create_map(F.lit("name"), F.lit("js"), F.lit("a"), k.cast("string"))
+    phones = F.array(F.lit("+1 (415) 555-2671"), F.lit("x"))
+    record = F.struct(F.lit("ts").alias("name"), tags.alias("Tags"), F.lit(3).alias("level"), phones.alias("phones"), F.lit("India").alias("country"), F.date_format("o_orderdate", "MM/dd/yyyy").alias("date"))
+    value = F.array(record, F.lit(None).cast("struct<name:string,Tags:map<string,string>,level:int,phones:array<string>,country:string,date:string>"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("candidate_key"), F.concat(F.lit("f:"), k.cast("string")).alias("fact_id"), choice(_WITHIN, k).alias("field_path"), value.alias("value"))
+    done = settled(extract.normalize_facts(rows))
+    return done.select("candidate_key", "fact_id", X.serialised(F.col("value"), done.schema["value"].dataType).alias("value"))
+
+
+@query("""WITH t AS (SELECT l_orderkey, list('{id:' || CAST(l_linenumber AS VARCHAR) || ',Mode:' || l_returnflag || ',n:' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ',none:null}' ORDER BY l_linenumber, l_quantity, l_returnflag) AS ls FROM lineitem GROUP BY 1)
+SELECT l_orderkey, '[' || array_to_string(ls, ',') || ']' AS text FROM t""")
+def serialise_nested(spark, sf_dir):
+    line = F.struct(F.col("l_linenumber").alias("id"), F.col("l_quantity").cast("double").alias("n"), F.lit(None).cast("string").alias("none"), F.col("l_returnflag").alias("Mode"))
+    lines = settled(table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines")))
+    return lines.select("l_orderkey", X.serialised(F.col("lines"), lines.schema["lines"].dataType).alias("text"))
+
+
 _BLANKS, _FULL = [" a ", "", "  ", "x\ty", "\u00a0\u3000", "\ufeffz\n", "0"], ["a", "", "", "x\ty", "", "z", "0"]
 
 

@@ -61,3 +61,29 @@ def test_country_and_skill(spark):
 def test_targets(spark):
     rows = ["phones[0]", "a.country", "experience[1].start", "skills[0].name", "name", "skills[]", "headline", None, "skill", "skills[1].skill"]
     assert values(spark, rows, N.target_of(F.col("x"))) == ["phone", "country", "date", "skill", None, "skill", None, None, None, "skill"]
+
+
+NESTED = "array<struct<name:string,skill:string,dates:struct<start:string>,end:int,extra:map<string,string>>>"
+
+
+def test_normalising_goes_inside_lists_records_and_maps(spark):
+    value = [("ts", "js", ("Mar 2021",), 2021, {"name": "js", "date": "07/2020", "b": "x"}), None, (None, None, None, None, None)]
+    rows = spark.createDataFrame([(t, value) for t in ("skill", "date", None)], f"t string, x {NESTED}")
+    got = {r[0]: r[1] for r in rows.select("t", N.by_target_within(F.col("t"), F.col("x"), rows.schema["x"].dataType)).collect()}
+    skill, date, none = (got[t][0].asDict(True) for t in ("skill", "date", None))
+    assert skill == {"name": "TypeScript", "skill": "js", "dates": {"start": "Mar 2021"}, "end": "2021", "extra": {"name": "js", "date": "07/2020", "b": "x"}}
+    assert date == {"name": "ts", "skill": "js", "dates": {"start": "Mar 2021"}, "end": None, "extra": {"name": "js", "date": "07/2020", "b": "x"}}
+    assert none == {"name": "ts", "skill": "js", "dates": {"start": "Mar 2021"}, "end": "2021", "extra": {"name": "js", "date": "07/2020", "b": "x"}}
+    assert all(x[1] is None and x[2].extra is None and x[2].name is None for x in got.values())
+    maps = spark.createDataFrame([(t, {"name": ["js", None], "date": ["07/2020"], "b": ["x"], "n": None}) for t in ("skill", "date")], "t string, x map<string,array<string>>")
+    got = [r[0] for r in maps.select(N.by_target_within(F.col("t"), F.col("x"), maps.schema["x"].dataType)).collect()]
+    assert got == [{"name": ["JavaScript", None], "date": ["07/2020"], "b": ["x"], "n": None}, {"name": ["js", None], "date": ["2020-07"], "b": ["x"], "n": None}]
+    texts = spark.createDataFrame([("skill", ["ts", None, " "])], "t string, x array<string>")
+    assert texts.select(N.by_target_within(F.col("t"), F.col("x"), texts.schema["x"].dataType)).first()[0] == ["TypeScript", None, None]
+
+
+def test_serialising_nested_values(spark):
+    kind = "struct<b:array<double>,Ca:boolean,a:map<string,array<int>>,c:struct<x:string>>"
+    rows = spark.createDataFrame([(([1.0, 2.5, None, -0.0], True, {"z": [1, None], "Y": [], "y": None}, None),), (None,)], f"x {kind}")
+    got = [r[0] for r in rows.select(X.serialised(F.col("x"), rows.schema["x"].dataType)).collect()]
+    assert got == ["{a:{y:null,Y:[],z:[1,null]},b:[1,2.5,null,0],c:null,Ca:true}", "null"]
