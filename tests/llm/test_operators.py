@@ -5,6 +5,7 @@ import pickle
 import re
 import zlib
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pytest
@@ -465,6 +466,12 @@ def test_texts_that_nothing_asks_for_are_not_shuffled(spark):
 # Mixing
 
 
+def test_words_are_counted(spark):
+    texts = [None, "", " ", "a", " a", "a ", "\n a\tb \r\x0b c\x0c", "\u00a0 \u2003x \U0001f600\x1cy", "x", "\x00 x\ny"] + ["".join(t) for t in product(" \nax", repeat=4)]
+    got = by_id(docs_of(spark, texts).select("doc_id", mixing.word_count(F.col("text")).alias("n")))
+    assert [got[i].n for i in range(len(texts))] == [len(re.findall("[^\x20\x09-\x0D]+", t or "")) for t in texts]
+
+
 def test_mix_meets_its_targets(spark):
     texts = [prose(i, 30 + i % 50) for i in range(200)]
     d = docs_of(spark, texts).withColumn("source", F.when(F.col("doc_id") < 4, "tiny").when(F.col("doc_id") < 150, "big").when(F.col("doc_id") < 190, None).otherwise("mid"))
