@@ -10,8 +10,9 @@ is one shingle). Documents are linked if 100 * intersection >= 80 * union, and a
    candidate of the hub: as many candidates as members, however large the bucket.
 4. Candidates are ranked by the collision-corrected estimate; each class's best are verified on the full sets, and
    components are built from the links.
-5. Buckets that hold several components still may hide a link. Those of more than BLOCK members get a further hub, from a
-   component that no hub of theirs stands in, and so on until a round brings no link: each round is linear in the members.
+5. Buckets that hold several components still may hide a link. While those of more than BLOCK members need many comparisons,
+   each of them gets a further hub, from a component that no hub of theirs stands in; a round is linear in the members. Rounds
+   end once one has not halved the comparisons: members that are linked with nothing would else need a round each.
 6. In the buckets left, members are compared in blocks, each against those outside the bucket's largest component, and each
    pair in the first band it shares: by sizes and estimate at first, then, for members that have such a pair, on the full
    sets inside the same blocks. Tasks return each member or link once, never pairs, and components are built again. So no
@@ -47,6 +48,8 @@ MARGIN = 4.5
 BEST = 2
 #: Members of a bucket that are compared in one task, and their shingles where full sets are compared.
 BLOCK, BLOCK_SHINGLES = 4096, 1 << 21
+#: Comparisons that hub rounds are worth, in full blocks: they take some 100 CPU seconds, a round some twenty jobs.
+ROUND_BLOCKS = 64
 _random = np.random.Generator(np.random.PCG64(20240229))
 _PLACE = _random.integers(1, 1 << 63, 1 << 12, dtype=np.uint64) | np.uint64(1)
 _FACTOR = _random.integers(1, 1 << 63, BUCKETS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -265,7 +268,9 @@ def _open_pairs(g: _Group, low: float, threshold: int):
         i, k = np.nonzero((count >= least) & (comps != own[at : at + step, None]) & (100 * np.minimum(sizes, n) >= threshold * np.maximum(sizes, n)))
         if len(i):
             est = estimate(count[i, k], own_sizes[at + i], sizes[k])
-            keep = (est >= low) & (equal[i, k].reshape(-1, BANDS, ROWS).all(2).argmax(1) == g.band)
+            keep = est >= low
+            if g.band:  # four flags to a word: no band before this one may be equal in all of its rows
+                keep[keep] = ~(equal.view(np.uint32)[i[keep], k[keep], : g.band] == 0x01010101).any(1)
             if keep.any():
                 yield at + i[keep], k[keep], est[keep]
 
@@ -288,6 +293,20 @@ def _meet(low: float, threshold: int):
     return run
 
 
+def _numbered(members: list[bytes], outsiders: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], int]:
+    """The sets as numbers of the outsiders' shingles, and how many there are; one number more stands for all other shingles."""
+    x, y = ([np.frombuffer(v, np.uint64) for v in sets] for sets in (members, outsiders))
+    known = np.unique(np.concatenate(y))
+
+    def numbers(sets):
+        every = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(known, every), len(known) - 1)
+        at[known[at] != every] = len(known)
+        return np.split(at.astype(np.int32), np.cumsum([len(v) for v in sets])[:-1])
+
+    return numbers(x), numbers(y), len(known)
+
+
 def _link(low: float, threshold: int):
     """Links between components, confirmed on the full sets; a pair that links found here have connected already is passed over."""
 
@@ -295,20 +314,19 @@ def _link(low: float, threshold: int):
         for groups in _groups(batches, ("set",)):
             links: list[tuple[int, int]] = []
             for g in groups:
-                ids, others = g.left["id"], g.right["id"]
+                ids, others, numbered = g.left["id"], g.right["id"], None
                 comps, own = g.left["component"].copy(), g.right["component"].copy()
-                sets = [np.frombuffer(v, np.uint64) for v in g.left["set"]]
                 for rows, members, est in _open_pairs(g, low, threshold):
+                    x, y, n = numbered = numbered or _numbered(g.left["set"], g.right["set"])
                     for i in np.unique(rows).tolist():
-                        mine, at = np.frombuffer(g.right["set"][i], np.uint64), np.flatnonzero(rows == i)
+                        mine, at, some = np.zeros(n + 1, bool), np.flatnonzero(rows == i), 16
+                        mine[y[i]] = True
                         near = members[at[np.argsort(-est[at], kind="stable")]]
                         while len(near := near[comps[near] != own[i]]):
-                            now, near = near[:32], near[32:]
-                            every = np.concatenate([sets[k] for k in now])
-                            to = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
-                            sizes = np.array([len(sets[k]) for k in now])
-                            shared = np.add.reduceat((mine[to] == every).astype(np.int64), np.cumsum(sizes) - sizes)
-                            for k in now[100 * shared >= threshold * (len(mine) + sizes - shared)].tolist():
+                            now, near, some = near[:some], near[some:], min(2 * some, 512)
+                            sizes = np.array([len(x[k]) for k in now])
+                            shared = np.add.reduceat(mine[np.concatenate([x[k] for k in now])], np.cumsum(sizes) - sizes, dtype=np.int64)
+                            for k in now[100 * shared >= threshold * (len(y[i]) + sizes - shared)].tolist():
                                 if comps[k] != own[i]:
                                     links.append((int(ids[k]), int(others[i])))
                                     old, new = own[i], comps[k]
@@ -332,6 +350,11 @@ def bucket_sizes(known: DataFrame) -> DataFrame:
     return stored(sizes.select("bucket", "n_all", "s_all", F.expr("n_all - m.rows").alias("n_out"), F.expr("s_all - m.shingles").alias("s_out"), F.col("m.component").alias("main")), "open-buckets")
 
 
+def comparisons(sizes: DataFrame) -> int:
+    """Pairs of a member and an outsider that the buckets above BLOCK need compared."""
+    return sizes.where(F.col("n_all") > BLOCK).agg(F.sum(F.col("n_all") * F.col("n_out"))).first()[0] or 0
+
+
 def _blocked(rows: DataFrame, sizes: DataFrame, most: int, shingles: int | None = None) -> DataFrame:
     """Members of a bucket (side 0) against its outsiders (side 1), both cut into blocks: a row for each block it is compared in.
 
@@ -384,7 +407,8 @@ def near_components(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) ->
 
     known = _placed(members.drop("hub"), parts)
     sizes = bucket_sizes(known)
-    while sizes.where(F.col("n_all") > BLOCK).limit(1).count():
+    need = comparisons(sizes)
+    while need > ROUND_BLOCKS * BLOCK**2:
         large = known.join(sizes.where(F.col("n_all") > BLOCK).select("bucket"), "bucket", "left_semi")
         stands = hubs.join(parts.select(F.col("node").alias("hub"), "component"), "hub", "left").select("bucket", F.coalesce("component", "hub").alias("component"))
         further = large.join(stands.distinct(), ["bucket", "component"], "left_anti").groupBy("bucket").agg(F.min(F.struct("id", "component")).alias("h"))
@@ -396,6 +420,9 @@ def near_components(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) ->
         parts, hubs = _joined(parts, links), hubs.unionByName(further.select("bucket", "hub"))
         known = _placed(known.join(sizes.select("bucket"), "bucket", "left_semi").drop("component"), parts)
         sizes = bucket_sizes(known)
+        before, need = need, comparisons(sizes)
+        if 2 * need > before:
+            break
 
     # What is left: first which members have an open pair at all, by their registers alone, then the sets of those.
     sketch, low = classes.select("id", "registers"), least_estimate(threshold)

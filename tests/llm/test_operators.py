@@ -2,6 +2,7 @@
 
 import hashlib
 import pickle
+import random
 import re
 import zlib
 from collections import Counter
@@ -551,6 +552,40 @@ def test_hidden_links_are_found_in_blocks(spark, monkeypatch):
     assert {r.component_id for r in got.values()} == {0}
 
 
+def test_hub_rounds_end_when_they_no_longer_pay(spark, monkeypatch):
+    """A family with many members that few others are linked with: blocks find their links, not a round for each of them."""
+    monkeypatch.setattr(neardedup, "BEST", 1)
+    monkeypatch.setattr(neardedup, "BLOCK", 3)
+    monkeypatch.setattr(neardedup, "ROUND_BLOCKS", 4, raising=False)
+    rounds, verified = [], neardedup._verified
+    monkeypatch.setattr(neardedup, "_verified", lambda *a: rounds.append(1) or verified(*a))
+    r, base, texts = random.Random(5), [f"w{i}" for i in range(100)], []
+    for _ in range(150):
+        words = list(base)
+        for at in r.sample(range(40), r.randint(2, 7)):
+            words[at] = f"v{r.randrange(2)}.{at}"
+        texts.append(" ".join(words))
+    sets = [set(zip(w, w[1:], strict=False)) for w in map(str.split, texts)]
+    least = list(range(150))
+    while True:  # the smallest label of every linked text, until nothing changes
+        after = [min(least[j] for j in range(150) if 100 * len(s & sets[j]) >= 80 * len(s | sets[j])) for s in sets]
+        if after == least:
+            break
+        least = after
+    got = by_id(neardedup.near_components(docs_of(spark, texts), k=2))
+    assert [got[i].component_id for i in range(150)] == least
+    assert len(rounds) <= 3
+
+
+def test_links_count_only_shared_shingles():
+    """Sets as numbers of the outsiders' shingles: those that no outsider holds are one number, and never count as shared."""
+    x, y = [np.array(v, np.uint64) for v in ([1, 5, 9], [7], [9, 2**64 - 1])], [np.array(v, np.uint64) for v in ([5, 9], [4])]
+    members, outsiders, n = neardedup._numbered([v.tobytes() for v in x], [v.tobytes() for v in y])
+    assert n == 3
+    assert [v.tolist() for v in members] == [[3, 1, 2], [3], [2, 3]]
+    assert [v.tolist() for v in outsiders] == [[1, 2], [0]]
+
+
 def test_estimate_is_corrected(spark):
     a, b = (np.arange(s, s + 4000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for s in (0, 400))
     equal = (neardedup.registers(a) == neardedup.registers(b)).sum()
